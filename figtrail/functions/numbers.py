@@ -27,26 +27,12 @@ NUMBER_FIELDS = ("kind", "value", "value_str", "scale", "grouping", "currency_sy
 _SEP = "\u0001"
 
 
-def number_fields(raw: Column) -> dict[str, Column]:
-    """Column per field of the parsed number; every field is null when the text is not a number."""
-    text = stripped(raw)
-    return _fields_of(text, _pieces(text))
-
-
 def _pieces(text: Column) -> Column:
+    """mark | opening | inner mark | sign | digits | inner % | closing | suffix"""
     return F.split(F.regexp_replace(text, PRINTED, _SEP.join(f"${i}" for i in range(1, 9))), _SEP)
 
 
-def with_number(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
-    """All fields as columns. The match is its own step, so it is evaluated once per row."""
-    staged = df.withColumn("_nb_text", stripped(F.col(col))).withColumn("_nb_piece", _pieces(F.col("_nb_text")))
-    fields = _fields_of(F.col("_nb_text"), F.col("_nb_piece"))
-    return staged.withColumns({prefix + k: v for k, v in fields.items()}).drop("_nb_text", "_nb_piece")
-
-
-def _fields_of(text: Column, piece: Column) -> dict[str, Column]:
-    is_nil = text.isin(NIL_FORMS)
-    matched = F.size(piece) == 8
+def _reading(piece: Column) -> dict[str, Column]:
     mark, opening, inner_mark, sign, digits, inner_pct, closing, suffix = (F.get(piece, i) for i in range(8))
     unit = F.trim(suffix)
     by_lakh, by_thousand = digits.rlike(LAKH_STYLE), digits.rlike(THOUSAND_STYLE)
@@ -54,27 +40,45 @@ def _fields_of(text: Column, piece: Column) -> dict[str, Column]:
                 .when(by_lakh & by_thousand, "both").when(by_lakh, "indian").when(by_thousand, "international"))
     kind = (F.when((inner_pct != "") | (unit == "%"), "percent").when(unit == "bps", "bps")
             .when(unit.isin("x", "X"), "multiple").otherwise("number"))
-    has_mark = (mark != "") | (inner_mark != "")
-    valid = (matched & ((opening != "") == (closing != "")) & ~((mark != "") & (inner_mark != ""))
-             & ~((opening != "") & (sign != "")) & grouping.isNotNull()
-             & ~((inner_pct != "") & (suffix != "")) & ~((kind != "number") & has_mark))
-    valid = F.coalesce(valid, F.lit(False))
-    negative = (opening != "") | (sign != "")
     plain = F.regexp_replace(F.replace(digits, F.lit(","), F.lit("")), "^0+([0-9])", "$1")
-    signed = F.concat(F.when(negative, "-").otherwise(""), plain)
-    return {
-        "kind": F.when(is_nil, "nil").when(valid, kind),
-        "value": F.when(valid & ~is_nil, signed).try_cast("decimal(38,10)"),
-        "value_str": F.when(valid & ~is_nil, signed),
-        "scale": F.when(valid & ~is_nil, F.coalesce(F.length(F.get(F.split(plain, r"\."), 1)), F.lit(0))),
-        "grouping": F.when(is_nil, "none").when(valid, grouping),
-        "currency_symbol": F.when(valid & ~is_nil & has_mark, F.concat(mark, inner_mark)),
-        "negative": F.when(is_nil, False).when(valid, negative),
+    return {"grouping": grouping, "kind": kind, "plain": plain,
+            "signed": F.concat(F.when((opening != "") | (sign != ""), "-").otherwise(""), plain)}
+
+
+def _valid(piece: Column, kind: Column, grouping: Column) -> Column:
+    mark, opening, inner_mark, sign, _, inner_pct, closing, suffix = (F.get(piece, i) for i in range(8))
+    return F.coalesce((F.size(piece) == 8) & ((opening != "") == (closing != "")) & ((mark == "") | (inner_mark == ""))
+                      & ((opening == "") | (sign == "")) & grouping.isNotNull() & ((inner_pct == "") | (suffix == ""))
+                      & ((kind == "number") | ((mark == "") & (inner_mark == ""))), F.lit(False))
+
+
+def with_number(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
+    """All fields as columns; null when the text is not a number. The match and the verdict are steps of their
+    own, so each is evaluated once per row and the generated code stays small."""
+    text, piece = F.col("_nb_text"), F.col("_nb_piece")
+    staged = df.withColumn("_nb_text", stripped(F.col(col))).withColumn("_nb_piece", _pieces(text))
+    staged = staged.withColumns({"_nb_" + k: v for k, v in _reading(piece).items()})
+    staged = staged.withColumn("_nb_ok", _valid(piece, F.col("_nb_kind"), F.col("_nb_grouping")))
+    ok, is_nil, signed = F.col("_nb_ok"), text.isin(NIL_FORMS), F.col("_nb_signed")
+    marks = F.concat(F.get(piece, 0), F.get(piece, 2))
+    fields = {
+        "kind": F.when(is_nil, "nil").when(ok, F.col("_nb_kind")),
+        "value": F.when(ok, signed).try_cast("decimal(38,10)"),
+        "value_str": F.when(ok, signed),
+        "scale": F.when(ok, F.coalesce(F.length(F.get(F.split("_nb_plain", r"\."), 1)), F.lit(0))),
+        "grouping": F.when(is_nil, "none").when(ok, F.col("_nb_grouping")),
+        "currency_symbol": F.when(ok & (marks != ""), marks),
+        "negative": F.when(is_nil, False).when(ok, F.startswith(signed, F.lit("-"))),
     }
+    return staged.withColumns({prefix + k: v for k, v in fields.items()}).drop(
+        "_nb_text", "_nb_piece", "_nb_ok", *["_nb_" + k for k in ("grouping", "kind", "plain", "signed")])
 
 
 def number_kind(raw: Column) -> Column:
-    return number_fields(raw)["kind"]
+    text = stripped(raw)
+    piece = _pieces(text)
+    reading = _reading(piece)
+    return F.when(text.isin(NIL_FORMS), "nil").when(_valid(piece, reading["kind"], reading["grouping"]), reading["kind"])
 
 
 def is_number(raw: Column) -> Column:

@@ -102,7 +102,7 @@ FIXTURES: dict[str, str] = {
           CAST(event_id % 12 + 1 AS INT) AS page, concat('s', CAST(event_id % 12 + 1 AS STRING)) AS section_id,
           concat('note ', CAST(event_id % 50 AS STRING)) AS message,
           CASE WHEN event_id % 3 = 0 THEN concat('e', CAST(event_id % 7 AS STRING)) END AS expected, CASE WHEN event_id % 4 = 0 THEN concat('a', CAST(event_id % 5 AS STRING)) END AS actual,
-          CASE WHEN event_id % 5 = 0 THEN 'resolved' ELSE 'open' END AS status, ts AS at
+          CASE WHEN event_id % 5 = 0 THEN 'resolved' ELSE 'open' END AS status, ts AS at_ts
         FROM {events}""",
     "fx_run_figures": """
         SELECT DISTINCT version_id, concat('p1f', CAST(k AS STRING)) AS fid, CASE WHEN k % 13 = 0 THEN 'not_a_figure' ELSE 'active' END AS status,
@@ -147,12 +147,12 @@ FIXTURES: dict[str, str] = {
                CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 2000 + s_suppkey * 250 END AS credit_limit, concat('Notice ', CAST(s_suppkey AS STRING)) AS disclaimer
         FROM {supplier}""",
     "fx_users": "SELECT c_custkey AS user_id, c_name AS name, lower(concat(c_name, '@example.com')) AS email, c_custkey % 12 AS tenant_id, CASE WHEN c_custkey % 12 < 8 AND c_custkey % 5 = 0 THEN 'tenant_admin' ELSE 'reviewer' END AS role FROM {customer}",
-    "fx_audit": "SELECT event_id AS audit_id, user_id % 5 AS tenant_id, user_id AS actor_id, concat('report.', event_type) AS action, props AS detail, ts AS at FROM {events}",
+    "fx_audit": "SELECT event_id AS audit_id, user_id % 5 AS tenant_id, user_id AS actor_id, concat('report.', event_type) AS action, props AS detail, ts AS at_ts FROM {events}",
     "fx_uploads": """
         SELECT o_orderkey AS upload_id, CASE WHEN o_orderkey % 31 = 0 THEN '  ' ELSE concat(' Company ', CAST(o_custkey AS STRING)) END AS company_name,
           CASE o_orderkey % 11 WHEN 0 THEN 'memo' WHEN 1 THEN 'annual_report' WHEN 2 THEN 'other' ELSE 'quarterly_results' END AS report_type, fy_text AS fiscal_year,
           CASE WHEN o_orderkey % 19 = 0 THEN 'q9' WHEN o_orderkey % 2 = 0 THEN 'Q2' ELSE 'fy' END AS period, CASE WHEN o_orderkey % 29 = 0 THEN 'RS' ELSE 'inr ' END AS currency,
-          CASE WHEN o_orderkey % 37 = 0 THEN '' ELSE '₹ crore' END AS reporting_unit, CASE WHEN o_orderkey % 3 = 0 THEN raw END AS period_end, o_custkey AS tenant_key, o_orderdate AS at
+          CASE WHEN o_orderkey % 37 = 0 THEN '' ELSE '₹ crore' END AS reporting_unit, CASE WHEN o_orderkey % 3 = 0 THEN raw END AS period_end, o_custkey AS tenant_key, o_orderdate AS at_ts
         FROM fx_printed_dates JOIN {orders} USING (o_orderkey)""",
     # ---- ledger, traffic, operations
     "fx_usage": """
@@ -166,7 +166,7 @@ FIXTURES: dict[str, str] = {
                CAST(micro_usd / CAST(10000 AS DECIMAL(5,0)) AS DECIMAL(12,4)) AS credits
         FROM (SELECT *, CAST(CASE WHEN provider = 'gemini' THEN input_tokens + output_tokens * 6 ELSE input_tokens * 3 + output_tokens * 15 END AS DECIMAL(18,0)) AS micro_usd FROM fx_usage) u""",
     "fx_hits": """
-        SELECT event_id AS hit_id, user_id % 5 AS tenant_id, CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id END AS report_id, ts AS at, CASE WHEN event_type = 'error' THEN 404 ELSE 200 END AS status,
+        SELECT event_id AS hit_id, user_id % 5 AS tenant_id, CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id END AS report_id, ts AS at_ts, CASE WHEN event_type = 'error' THEN 404 ELSE 200 END AS status,
           CASE event_id % 8 WHEN 0 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1)' WHEN 1 THEN 'GPTBot/1.0' WHEN 2 THEN 'ClaudeBot/1.0' WHEN 3 THEN 'Mozilla/5.0 (X11; Linux x86_64)' WHEN 4 THEN 'SomeCrawler/2.0'
             WHEN 5 THEN '' WHEN 6 THEN 'curl/8.1' ELSE 'Mozilla/5.0 (Windows NT 10.0)' END AS user_agent
         FROM {events}""",
@@ -178,7 +178,7 @@ FIXTURES: dict[str, str] = {
           concat('GET https://api.example.com/v1?key=AIza', CAST(event_id AS STRING), '&x=1 Authorization: Bearer tok', CAST(event_id AS STRING), ' failed') AS error
         FROM {events}""",
     "fx_beats": "SELECT concat('w', CAST(user_id AS STRING)) AS worker_id, ts AS seen_at FROM {events}",
-    "fx_requests": "SELECT event_id AS request_id, user_id, ts AS at FROM {events}",
+    "fx_requests": "SELECT event_id AS request_id, user_id, ts AS at_ts FROM {events}",
     "fx_domains": """
         SELECT event_id AS domain_id, user_id AS tenant_id, concat('d', CAST(user_id AS STRING), '.example.com') AS hostname, ts AS checked_at, ts - INTERVAL '2' HOUR * (event_id % 3) AS created_at,
           CASE event_id % 4 WHEN 0 THEN 'live' WHEN 1 THEN 'pending_dns' WHEN 2 THEN 'failed' ELSE 'pending_tls' END AS state,
@@ -193,6 +193,10 @@ FIXTURES: dict[str, str] = {
           substr(text, 1, 400) AS sample, CASE WHEN doc_id % 4 = 0 THEN 'ocr' ELSE 'text_layer' END AS method, CASE WHEN doc_id % 5 = 0 THEN CAST(0.55 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS mean_conf,
           CASE WHEN doc_id % 6 = 0 THEN 'paragraph' ELSE 'heading' END AS kind
         FROM {documents}""",
+    "fx_opinions": """
+        SELECT doc_id % 15 AS version_id, concat('p1f', CAST(doc_id % 40 AS STRING)) AS fid, CASE WHEN max(doc_id) % 7 = 0 THEN 'other' ELSE concat(CAST(doc_id % 40 AS STRING), '.50') END AS seen_raw,
+               max(quality) = 1 AS agrees, CASE WHEN max(toxic) = 0 THEN concat(CAST(max(doc_id) % 9 AS STRING), '.1') ELSE '' END AS reading
+        FROM {labels} GROUP BY doc_id % 15, doc_id % 40""",
     "fx_suggestions": "SELECT source AS report_id, concat('s', CAST(CASE WHEN doc_id % 10 = 9 THEN doc_id + 100000 ELSE doc_id END AS STRING)) AS section_id, CASE doc_id % 5 WHEN 0 THEN 'outlook' WHEN 1 THEN 'notes' WHEN 2 THEN 'balance sheet 2' WHEN 3 THEN 'highlights' ELSE 'unknown' END AS suggested, n_chars AS ord FROM {documents}",
     "fx_captions": """
         SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN '(₹ in crore, except per share data)' WHEN 1 THEN 'US$ millions' WHEN 2 THEN 'in lakhs; some in crores' WHEN 3 THEN concat('Rs. Cr of ', p_name) WHEN 4 THEN 'EUR ''000'

@@ -71,7 +71,7 @@ def main():
     con = connect(folder)
     bad = 0
     for name in sorted(queries):
-        if args and not any(a in name for a in args):
+        if args and not any(name.startswith(a) for a in args):
             continue
         try:
             status, note, took = compare(spark, con, name, queries[name], oracles.get(name), folder)
