@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figtrail.functions.text import stripped
+from figtrail.functions.text import once, stripped
 
 # Dash and word forms that mean "nil", and the currency marks a number may carry.
 NIL_FORMS = ["-", "–", "—", "‐", "nil", "Nil", "NIL"]
@@ -56,9 +56,10 @@ def with_number(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
     """All fields as columns; null when the text is not a number. The match and the verdict are steps of their
     own, so each is evaluated once per row and the generated code stays small."""
     text, piece = F.col("_nb_text"), F.col("_nb_piece")
-    staged = df.withColumn("_nb_text", stripped(F.col(col))).withColumn("_nb_piece", _pieces(text))
-    staged = staged.withColumns({"_nb_" + k: v for k, v in _reading(piece).items()})
-    staged = staged.withColumn("_nb_ok", _valid(piece, F.col("_nb_kind"), F.col("_nb_grouping")))
+    trimmed = stripped(F.col(col))
+    staged = once(df, {"_nb_text": trimmed, "_nb_piece": _pieces(trimmed)})
+    staged = once(staged, {"_nb_" + k: v for k, v in _reading(piece).items()})
+    staged = once(staged, {"_nb_ok": _valid(piece, F.col("_nb_kind"), F.col("_nb_grouping"))})
     ok, is_nil, signed = F.col("_nb_ok"), text.isin(NIL_FORMS), F.col("_nb_signed")
     marks = F.concat(F.get(piece, 0), F.get(piece, 2))
     fields = {

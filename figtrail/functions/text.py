@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """Columns that are worked out once per row. Written as a one-row ``inline``, because a plain projection would be
+    merged into whatever uses it and a later filter would repeat it below; this one stays where it is."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in fields.items()]))))
+
+
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 

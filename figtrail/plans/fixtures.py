@@ -177,14 +177,14 @@ FIXTURES: dict[str, str] = {
           concat('key', CAST(event_id % 700 AS STRING)) AS idempotency_key,
           concat('GET https://api.example.com/v1?key=AIza', CAST(event_id AS STRING), '&x=1 Authorization: Bearer tok', CAST(event_id AS STRING), ' failed') AS error
         FROM {events}""",
-    "fx_beats": "SELECT concat('w', CAST(user_id AS STRING)) AS worker_id, ts AS seen_at FROM {events}",
+    "fx_beats": "SELECT concat('w', CAST(event_id % 9 AS STRING)) AS worker_id, ts AS seen_at FROM {events}",
     "fx_requests": "SELECT event_id AS request_id, user_id, ts AS at_ts FROM {events}",
     "fx_domains": """
-        SELECT event_id AS domain_id, user_id AS tenant_id, concat('d', CAST(user_id AS STRING), '.example.com') AS hostname, ts AS checked_at, ts - INTERVAL '2' HOUR * (event_id % 3) AS created_at,
-          CASE event_id % 4 WHEN 0 THEN 'live' WHEN 1 THEN 'pending_dns' WHEN 2 THEN 'failed' ELSE 'pending_tls' END AS state,
-          event_id % 10 AS k, CASE event_id % 10 WHEN 0 THEN '' WHEN 1 THEN 'edge.example.net' WHEN 2 THEN 'other.example.org' ELSE 'edge.example.net' END AS cname,
-          CASE event_id % 10 WHEN 3 THEN '9.9.9.9' WHEN 4 THEN '' ELSE '1.2.3.4' END AS addresses, event_id % 10 <> 5 AS txt_ok, event_id % 10 <> 6 AS caa_ok, event_id % 10 <> 7 AS tls_ok, event_id % 10 <> 8 AS http_ok,
-          CASE WHEN value < 100 THEN 'live' ELSE 'failed' END AS observed
+        SELECT event_id AS domain_id, concat('d', CAST(user_id AS STRING), '.example.com') AS domain, ts AS checked_at, ts - INTERVAL '40' MINUTE AS created_at, ts AS at_ts, event_id AS seq,
+          CASE event_id % 4 WHEN 0 THEN 'live' WHEN 1 THEN 'pending' WHEN 2 THEN 'failed' ELSE 'ssl_issuing' END AS state, event_id % 12 AS k,
+          CASE event_id % 12 WHEN 0 THEN NULL WHEN 1 THEN 'x.cdn.example.org' WHEN 2 THEN 'other.example.org' ELSE 'edge.example.net' END AS cname, event_id % 12 = 3 AS cname_timeout,
+          CASE event_id % 12 WHEN 4 THEN '' WHEN 5 THEN 'site=zzz' ELSE 'site=abc' END AS txt_text, 'site=abc' AS want_txt, CASE event_id % 12 WHEN 6 THEN 'otherca.example' WHEN 7 THEN 'goodca.example' ELSE '' END AS caa_text,
+          event_id % 12 <> 8 AS tls_ok, CASE WHEN event_id % 12 = 9 THEN 3 ELSE 60 END AS cert_days, CASE WHEN value < 60 THEN 'live' ELSE 'failed' END AS observed
         FROM {events}""",
     "fx_sections": """
         SELECT source AS report_id, doc_id AS ord, concat('s', CAST(doc_id AS STRING)) AS section_id, CAST(floor(doc_id / 3) AS BIGINT) AS page,
@@ -204,6 +204,18 @@ FIXTURES: dict[str, str] = {
           CASE p_partkey % 8 WHEN 0 THEN 'EBITDA margin' WHEN 1 THEN 'Basic EPS (₹)' WHEN 2 THEN 'Dividend per share' WHEN 3 THEN 'Growth (%)' WHEN 4 THEN 'Book value (₹)' WHEN 5 THEN 'Margin (gross)' ELSE p_name END AS row_label,
           CASE p_partkey % 9 WHEN 0 THEN 'YoY' WHEN 1 THEN 'Q-o-Q growth' WHEN 2 THEN ' % chg ' WHEN 3 THEN 'Sequential' WHEN 4 THEN '% Change' WHEN 5 THEN 'Growth' WHEN 6 THEN 'change' WHEN 7 THEN 'Change in stock' ELSE p_brand END AS col_label
         FROM {part}""",
+    "fx_figs": """
+        SELECT report_id, page, line_no, word_no, concat('p', CAST(page AS STRING), 'f', CAST(row_number() OVER (PARTITION BY report_id, page ORDER BY line_no, word_no) AS STRING)) AS fid,
+          CASE WHEN (page + word_no) % 11 = 0 THEN concat(text, '9') ELSE text END AS raw, x0, y0, x1, y1, conf AS confidence,
+          CASE WHEN page % 3 = 0 THEN 'ocr' ELSE 'text_layer' END AS method, CASE WHEN (page + line_no) % 31 = 0 THEN 'not_a_figure' ELSE 'active' END AS status, word_no % 29 = 28 AS edited,
+          concat('s', CAST(page AS STRING)) AS section_id
+        FROM fx_words WHERE regexp_replace(text, '[0-9]', '') <> text""",
+    "fx_words2": "SELECT report_id, page, line_no, word_no, CASE WHEN (page + word_no) % 23 = 0 THEN concat('#', text) ELSE text END AS text, x0 + CAST(1 AS DOUBLE) AS x0, y0, x1 + CAST(1 AS DOUBLE) AS x1, y1 FROM fx_words",
+    "fx_readings": """
+        SELECT report_id, fid, k AS reading_no, CASE WHEN k = 1 THEN raw WHEN k = 2 AND (page + word_no) % 11 = 0 THEN concat(substr(raw, 1, length(raw) - 1)) WHEN word_no % 2 = 0 THEN concat('7', raw) ELSE '' END AS reading
+        FROM fx_figs CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) x WHERE k = 2 OR (page + word_no) % 11 <> 0""",
+    "fx_excluded": "SELECT report_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM fx_words WHERE line_no = 0 GROUP BY report_id, page",
+    "fx_doc_pages": "SELECT source AS report_id, doc_id AS page, CASE WHEN doc_id % 3 = 0 THEN 'ocr' ELSE 'text_layer' END AS method, CAST(612 AS DOUBLE) AS width, CAST(792 AS DOUBLE) AS height, CASE WHEN doc_id % 9 = 0 THEN doc_id % 5 ELSE 0 END AS hidden_numbers, doc_id % 8 = 0 AS has_picture, doc_id % 16 = 0 AS shown FROM {documents}",
     "fx_sources": "SELECT doc_id AS upload_id, source AS tenant_id, text AS content, concat('report ', CAST(doc_id % 50 AS STRING), '.pdf') AS filename, doc_id AS at_no FROM {documents}",
 }
 
@@ -254,9 +266,10 @@ def with_adapters(body: str, engine: str, location: dict[str, str] | None = None
     names = needed_by(body, engine)
     ctes = [f"{n} AS ({sql_of(n, engine)})" for n in names]
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        ctes.append(body[5:])
-        text = "WITH " + ",\n".join(ctes)
+    head = "WITH RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else "WITH "
+    if body.upper().startswith(head):
+        ctes.append(body[len(head):])
+        text = head + ",\n".join(ctes)
     else:
         text = ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
     for t in DRIVER_TABLES:
