@@ -216,6 +216,31 @@ FIXTURES: dict[str, str] = {
         FROM fx_figs CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) x WHERE k = 2 OR (page + word_no) % 11 <> 0""",
     "fx_excluded": "SELECT report_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM fx_words WHERE line_no = 0 GROUP BY report_id, page",
     "fx_doc_pages": "SELECT source AS report_id, doc_id AS page, CASE WHEN doc_id % 3 = 0 THEN 'ocr' ELSE 'text_layer' END AS method, CAST(612 AS DOUBLE) AS width, CAST(792 AS DOUBLE) AS height, CASE WHEN doc_id % 9 = 0 THEN doc_id % 5 ELSE 0 END AS hidden_numbers, doc_id % 8 = 0 AS has_picture, doc_id % 16 = 0 AS shown FROM {documents}",
+    # ---- pages with tables: one page per order, its lines as rows, with a title, a unit caption and column heads
+    "fx_grid": """
+        SELECT page % 25 AS report_id, page, row_no, k AS word_no, text, x0, CAST(100 + 14 * row_no AS DOUBLE) AS y0, x1, CAST(110 + 14 * row_no AS DOUBLE) AS y1,
+          CASE WHEN row_no = -4 THEN CAST(16 AS DOUBLE) ELSE CAST(10 AS DOUBLE) END AS size, row_no = -4 AS bold, CASE WHEN (page + row_no) % 13 = 0 THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS conf
+        FROM (
+          SELECT report_id AS page, row_no, j AS k, split_part(label, ' ', j) AS text, CAST(10 + 40 * j AS DOUBLE) AS x0, CAST(10 + 40 * j + 6 * length(split_part(label, ' ', j)) AS DOUBLE) AS x1
+          FROM fx_cells CROSS JOIN (SELECT 1 AS j UNION ALL SELECT 2) n WHERE col_no = 1 AND split_part(label, ' ', j) <> ''
+          UNION ALL SELECT report_id, row_no, 10 + col_no, raw, CAST(210 + 90 * col_no - 6 * length(raw) AS DOUBLE), CAST(210 + 90 * col_no AS DOUBLE) FROM fx_cells
+          UNION ALL SELECT o_orderkey, r, w, t, CAST(a AS DOUBLE), CAST(a + 6 * length(t) AS DOUBLE) FROM {orders} CROSS JOIN (
+            SELECT 0 AS r, 1 AS w, 'Particulars' AS t, 50 AS a UNION ALL SELECT 0, 2, 'Q2', 250 UNION ALL SELECT 0, 3, 'FY25', 270 UNION ALL SELECT 0, 4, 'Quantity', 345 UNION ALL SELECT 0, 5, 'Tax', 460
+            UNION ALL SELECT -1, 1, '(₹', 50 UNION ALL SELECT -1, 2, 'in', 70 UNION ALL SELECT -1, 3, 'crore)', 90 UNION ALL SELECT -4, 1, 'Order', 50 UNION ALL SELECT -4, 2, 'statement', 110) h) x""",
+    "fx_grid_pages": "SELECT o_orderkey % 25 AS report_id, o_orderkey AS page, CAST(600 AS DOUBLE) AS width, CAST(800 AS DOUBLE) AS height FROM {orders}",
+    # ---- furniture in page margins: running titles (some misread), page numbers and stray numbers
+    "fx_margin": """
+        SELECT page % 25 AS report_id, page, row_no, w AS word_no, text, x0, y0, x0 + CAST(6 * length(text) AS DOUBLE) AS x1, y0 + CAST(10 AS DOUBLE) AS y1, CAST(10 AS DOUBLE) AS size, FALSE AS bold, CAST(0.9 AS DOUBLE) AS conf
+        FROM (SELECT o_orderkey AS page, 0 AS row_no, w, CASE WHEN w = 2 AND o_orderkey % 17 = 0 THEN 'Reporl' WHEN w = 3 AND o_orderkey % 5 = 0 THEN o_orderpriority ELSE t END AS text, CAST(a AS DOUBLE) AS x0, CAST(20 AS DOUBLE) AS y0
+              FROM {orders} CROSS JOIN (SELECT 1 AS w, 'Annual' AS t, 50 AS a UNION ALL SELECT 2, 'Report', 100 UNION ALL SELECT 3, 'Consolidated', 150) h
+              UNION ALL SELECT o_orderkey, 1, 1, CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_custkey AS STRING) ELSE CAST(o_orderkey + 4 AS STRING) END, CAST(300 AS DOUBLE), CAST(770 AS DOUBLE) FROM {orders}
+              UNION ALL SELECT o_orderkey, 2, 1, o_orderpriority, CAST(50 AS DOUBLE), CAST(400 AS DOUBLE) FROM {orders}) x WHERE text <> ''""",
+    # ---- chart pages: a column of evenly spaced ticks beside other numbers
+    "fx_ticks": """
+        SELECT p_partkey % 10 AS report_id, p_partkey AS page, k AS word_no, CASE WHEN p_partkey % 6 = 0 AND k = 3 THEN '37' ELSE CAST((5 - k) * CASE WHEN p_partkey % 4 = 0 THEN 3 ELSE p_size END AS STRING) END AS text, CAST(40 AS DOUBLE) AS x0, CAST(100 + 30 * k AS DOUBLE) AS y0, CAST(60 AS DOUBLE) AS x1, CAST(110 + 30 * k AS DOUBLE) AS y1, CAST(10 AS DOUBLE) AS size, FALSE AS bold, CAST(0.9 AS DOUBLE) AS conf
+        FROM {part} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) t
+        UNION ALL SELECT p_partkey % 10, p_partkey, 20 + k, CASE k WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN '€8' WHEN 2 THEN '7777' ELSE '2024' END, CAST(100 + 60 * k AS DOUBLE), CAST(300 AS DOUBLE), CAST(140 + 60 * k AS DOUBLE), CAST(310 AS DOUBLE), CAST(10 AS DOUBLE), FALSE, CAST(0.3 AS DOUBLE)
+        FROM {part} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) t WHERE p_partkey % 3 = 0""",
     "fx_sources": "SELECT doc_id AS upload_id, source AS tenant_id, text AS content, concat('report ', CAST(doc_id % 50 AS STRING), '.pdf') AS filename, doc_id AS at_no FROM {documents}",
 }
 
