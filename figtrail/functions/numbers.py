@@ -75,15 +75,16 @@ def with_number(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
         "_nb_text", "_nb_piece", "_nb_ok", *["_nb_" + k for k in ("grouping", "kind", "plain", "signed")])
 
 
-def number_kind(raw: Column) -> Column:
-    text = stripped(raw)
-    piece = _pieces(text)
-    reading = _reading(piece)
-    return F.when(text.isin(NIL_FORMS), "nil").when(_valid(piece, reading["kind"], reading["grouping"]), reading["kind"])
+# The same forms as one yes/no pattern: a test needs no pieces.
+_DIGITS = r"(?:[0-9]+|[0-9]{1,2}(?:,[0-9]{2})*,[0-9]{3}|[0-9]{1,3}(?:,[0-9]{3})+)(?:\.[0-9]+)?"
+_UNIT_END = r"\s?(?:%|bps|x|X)"
+NUMBER_BODY = (rf"(?:[-–—‐]|nil|Nil|NIL|(?:(?:{CURRENCY_MARK})\s{{0,2}})?[-−–]?{_DIGITS}|[-−–]?{_DIGITS}{_UNIT_END}"
+               rf"|(?:(?:{CURRENCY_MARK})\s?)?\(\s?{_DIGITS}\)|\((?:{CURRENCY_MARK})\s?{_DIGITS}\)"
+               rf"|\(\s?{_DIGITS}\s?%\)|\(\s?{_DIGITS}\){_UNIT_END})")
 
 
 def is_number(raw: Column) -> Column:
-    return number_kind(raw).isNotNull()
+    return stripped(raw).rlike(f"^{NUMBER_BODY}$")
 
 
 def with_signature(df: DataFrame, col: str, out: str = "signature") -> DataFrame:
@@ -106,9 +107,7 @@ NUMERIC_CELL = r"^[(\-−–]?[₹$€£]?[0-9][0-9,.\-–]*\)?\s?%?[*#^]?$"
 def looks_like_cell_value(text: Column) -> Column:
     """Structural test for a table value; footnote marks and misread separators still count."""
     t = stripped(text)
-    bare = F.regexp_replace(t, r"[*#^]+$", "")
-    many_digits = F.length(F.regexp_replace(t, "[^0-9]", "")) >= 2
-    return is_number(t) | ((bare != t) & is_number(bare)) | (t.rlike(NUMERIC_CELL) & many_digits)
+    return t.rlike(rf"^{NUMBER_BODY}[*#^]*$") | (t.rlike(NUMERIC_CELL) & t.rlike("[0-9][^0-9]*[0-9]"))
 
 
 def garbled_number(raw: Column) -> Column:

@@ -241,6 +241,24 @@ FIXTURES: dict[str, str] = {
         FROM {part} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) t
         UNION ALL SELECT p_partkey % 10, p_partkey, 20 + k, CASE k WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN '€8' WHEN 2 THEN '7777' ELSE '2024' END, CAST(100 + 60 * k AS DOUBLE), CAST(300 AS DOUBLE), CAST(140 + 60 * k AS DOUBLE), CAST(310 AS DOUBLE), CAST(10 AS DOUBLE), FALSE, CAST(0.3 AS DOUBLE)
         FROM {part} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) t WHERE p_partkey % 3 = 0""",
+    "fx_html": """
+        SELECT page_id, page_id % 8 AS report_id, concat('p', CAST(page_id AS STRING), '.html') AS name, concat(replace(html, '</article>', ''), '<p>Sales <span class="n" data-fig="p', CAST(page_id % 40 AS STRING), 'f1">', CASE WHEN page_id % 9 = 0 THEN '99.1' ELSE '12.5' END,
+          '</span> for <b data-meta="period_label">', CASE WHEN page_id % 7 = 0 THEN 'Q3 FY26' ELSE 'Q2 FY26' END, '</b>', CASE WHEN page_id % 4 = 0 THEN ' about 1,234 units' ELSE ' units' END, '</p><img alt="Chart ', CASE WHEN page_id % 6 = 0 THEN '17' ELSE 'FY26' END,
+          '" src="/r/pages/p', lpad(CAST(page_id % 30 AS STRING), 4, '0'), '-x1.webp"><p style="color:#12aBc', CAST(page_id % 10 AS STRING), ';font-family: ''Inter'', serif">See www.example.com/a-</p><style>body{background:#fff} h1{color:#0af;font-family:Roboto, sans-serif}</style><script type="application/ld+json">{"@type": "Report", "name": "Report ', CASE WHEN page_id % 5 = 0 THEN '2031' ELSE 'FY26' END, '", "url": "/fy2026/"',
+          CASE WHEN page_id % 10 = 3 THEN '' ELSE '}' END, '</script></article>') AS html
+        FROM {pages}""",
+    "fx_site_figures": "SELECT DISTINCT page_id % 8 AS report_id, concat('p', CAST(page_id % 40 AS STRING), 'f1') AS fid, '12.5' AS raw, CASE WHEN page_id % 40 = 18 THEN 'not_a_figure' ELSE 'active' END AS status FROM {pages} WHERE page_id % 40 <> 39",
+    "fx_site_meta": "SELECT DISTINCT page_id % 8 AS report_id, 'period_label' AS meta_key, 'Q2 FY26' AS meta_value FROM {pages}",
+    # ---- report texts: names, listing codes, currencies, units, dates and periods spread over pages
+    "fx_texts": """
+        SELECT o_custkey % 50 AS report_id, o_orderkey AS page, o_orderkey % 3 = 0 AS is_cover,
+          concat(CASE o_orderkey % 6 WHEN 0 THEN concat(nm, ' Limited announced results. ') WHEN 1 THEN concat('In the year ', nm, ' grew. ', one, '’s margin rose. ') WHEN 2 THEN concat('For ', upper(nm), ' LIMITED the board of National Stock Exchange of India Limited met. ')
+              WHEN 3 THEN concat(nm, ' Quarterly Results. NSE: ', upper(replace(nm, ' ', '')), ' and focus on growth. ') WHEN 4 THEN concat('Our focus is steel. ', one, '’s plants and ', nm, ' Ltd sold more. ') ELSE concat('Focus and ', one, ' ', 'results matter. ') END,
+            CASE o_orderkey % 5 WHEN 0 THEN concat('Revenue of ', cur, '1,234 ', unit, ' and ', cur, ' 56 ', unit, '. ') WHEN 1 THEN concat('(', cur, ' in ', unit, ') ') WHEN 2 THEN 'US$ 39.1 Billion abroad. ' WHEN 3 THEN concat('About ', cur, '2.5 ', unit, '. ') ELSE 'No amounts here. ' END,
+            CASE o_orderkey % 7 WHEN 0 THEN concat('Q', CAST(o_custkey % 4 + 1 AS STRING), ' FY', substr(yy, 3, 2), ' ') WHEN 1 THEN concat('for the year ended March 31, ', yy, ' ') WHEN 2 THEN concat('Annual Report ', yy, '-', substr(CAST(CAST(yy AS INT) + 1 AS STRING), 3, 2), ' ') WHEN 3 THEN concat('fiscal year ', yy, ' ')
+              WHEN 4 THEN concat('quarter ended 30 September ', yy, ' ') WHEN 5 THEN concat('12 December ', yy, ' ') ELSE concat('Outlook ', yy, ' ') END) AS text
+        FROM (SELECT o_custkey, o_orderkey, CAST(year(o_orderdate) + 20 AS STRING) AS yy, CASE o_custkey % 5 WHEN 0 THEN 'Tata Motors' WHEN 1 THEN 'Infosys Digital' WHEN 2 THEN 'Nova Steel' WHEN 3 THEN 'Axis Bank' ELSE 'Hindalco Industries' END AS nm,
+            CASE o_custkey % 5 WHEN 0 THEN 'Tata' WHEN 1 THEN 'Infosys' WHEN 2 THEN 'Nova' WHEN 3 THEN 'Axis' ELSE 'Hindalco' END AS one, CASE o_custkey % 3 WHEN 0 THEN '$' WHEN 1 THEN '₹' ELSE 'Rs. ' END AS cur, CASE o_custkey % 3 WHEN 0 THEN 'million' WHEN 1 THEN 'crore' ELSE 'lakhs' END AS unit FROM {orders}) o""",
     "fx_sources": "SELECT doc_id AS upload_id, source AS tenant_id, text AS content, concat('report ', CAST(doc_id % 50 AS STRING), '.pdf') AS filename, doc_id AS at_no FROM {documents}",
 }
 

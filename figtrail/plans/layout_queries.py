@@ -9,6 +9,7 @@ from figtrail.operators import sections as sec
 from figtrail.operators import tables as tab
 from figtrail.plans import duck
 from figtrail.plans.registry import query
+from figtrail.session import cut
 
 P = "PARTITION BY report_id, page"
 
@@ -81,7 +82,7 @@ def w5(t):
 
 def _ticks(t):
     regions = t("fx_ticks").filter("page % 2 = 0").groupBy("report_id", "page").agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
-    return lay.axis_tick_words(t("fx_ticks"), regions)
+    return lay.axis_tick_words(cut(t("fx_ticks")), regions)
 
 
 @query("w6_axis_tick_words", None)
@@ -141,10 +142,9 @@ REGIONS = f"""sg AS MATERIALIZED ({segs_sql('fx_grid')}),
 
 
 def _tables(t):
-    segs = _segs(t)
-    regions = tab.table_regions(segs)
-    anchors = tab.column_anchors(segs, regions)
-    return segs, regions, anchors
+    segs = cut(_segs(t))
+    regions = cut(tab.table_regions(segs))
+    return segs, regions, cut(tab.column_anchors(segs, regions))
 
 
 @query("w10_column_anchors", f"WITH {REGIONS} SELECT report_id, page, table_no, CAST(col_no AS INT) AS col_no, anchor, col_width FROM an")
@@ -187,7 +187,7 @@ def w15(t):
 def _heads(t):
     words = t("fx_grid")
     body = lay.body_type_size(words.withColumn("method", F.lit("text_layer")))
-    return sec.headings(lay.segments_of(words), body), body
+    return cut(sec.headings(cut(lay.segments_of(words)), body)), body
 
 
 @query("w16_headings", None)
@@ -259,7 +259,7 @@ def w22(t):
 @query("w23_region_roles", None)
 def w23(t):
     words = t("fx_grid")
-    rows = tab.table_regions(lay.segments_of(words))
+    rows = cut(tab.table_regions(cut(lay.segments_of(words))))
     box = [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
     shapes = words.groupBy("report_id", "page", (F.col("row_no") < 3).alias("_part")).agg(*box).select("report_id", "page", F.col("_part").cast("int").alias("region_id"), (F.col("page") % 2 == 0).alias("is_image"), "x0", "y0", "x1", "y1")
     return tab.region_roles(shapes, rows, words).select("report_id", "page", "region_id", "is_image", "role")
@@ -283,8 +283,8 @@ def w25(t):
 
 def _figures(t):
     segs, regions, anchors = _tables(t)
-    cells = tab.table_cells(tab.assign_columns(segs, regions, anchors))
-    headers = tab.table_headers(segs, regions, anchors)
+    cells = cut(tab.table_cells(tab.assign_columns(segs, regions, anchors)))
+    headers = cut(tab.table_headers(segs, regions, anchors))
     pages = t("fx_grid_pages").withColumn("method", F.when(F.col("page") % 3 == 0, "ocr").otherwise("text_layer"))
     meta = pages.select("report_id").distinct().withColumns({"report_unit": F.lit("lakh"), "report_currency": F.lit("USD")})
     return tab.build_figures(cells, headers, meta, pages)

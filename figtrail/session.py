@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,3 +35,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A table several steps read is written once to the checkpoint folder and read back: the steps after it do not
+    repeat it, and a lost executor costs a re-read."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
