@@ -66,7 +66,7 @@ CSEC = "SELECT source AS report_id, doc_id AS ord, concat('s', CAST(doc_id AS ST
 @query("e5_assign_chapters", f"""
     WITH s AS ({CSEC}), f AS (SELECT report_id, min(ord) AS f0 FROM s WHERE starts GROUP BY ALL),
     c AS (SELECT s.*, COALESCE(last_value(CASE WHEN starts THEN ord END IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY ord), f.f0) AS ch FROM s JOIN f USING (report_id)),
-    k AS (SELECT report_id, ch, CASE WHEN bool_or(shows) THEN ch END AS me FROM c GROUP BY ALL),
+    k AS (SELECT report_id, ch, CASE WHEN bool_or(shows) THEN ch END AS me FROM c GROUP BY report_id, ch),
     h AS (SELECT report_id, ch, COALESCE(first_value(me IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY ch ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(me IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY ch)) AS home FROM k)
     SELECT report_id, section_id, ord, home AS chapter_start FROM c JOIN h USING (report_id, ch) WHERE home IS NOT NULL""")
 def e5(t):

@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from figtrail.functions.numbers import garbled_number, with_number
+from figtrail.operators import checks
 from figtrail.operators import operations as op
 from figtrail.plans import fixtures
 from figtrail.plans.registry import Tables, query
@@ -139,3 +141,23 @@ def r9b(t):
     out, state = _scratch(t)
     streams.drain(streams.alerts(_event_stream(t, "fx_domains")), out, state)
     return t.spark.read.parquet(out).select("domain", "seq", "alerted")
+
+
+@query("r10_stream_checks", """
+    WITH v AS (SELECT user_id AS version_id, max(event_id) AS newest FROM events GROUP BY ALL)
+    SELECT version_id, fid, severity FROM (SELECT e.user_id AS version_id, 'p1f' || e.event_id AS fid, CASE WHEN e.event_id % 5 = 0 THEN 'blocking' END AS severity FROM events e JOIN v ON v.version_id = e.user_id AND e.event_id % 3 = v.newest % 3) WHERE severity IS NOT NULL""")
+def r10(t):
+    """Every version arrives with three contents in one batch; the newest is checked for numerals that do not parse."""
+    out, state = _scratch(t)
+    events = streams.read_table_stream(t.spark, t.folder, "events")
+    figures = events.select(F.col("user_id").alias("version_id"), (F.col("event_id") % 3).cast("string").alias("content_sha"), F.col("event_id").alias("arrived"), F.lit("src").alias("report_id"), F.lit(1).alias("page"),
+                            F.concat(F.lit("p1f"), F.col("event_id").cast("string")).alias("fid"), F.when(F.col("event_id") % 5 == 0, "1,2,34").otherwise("1,234.50").alias("raw"))
+
+    def check(batch):
+        typed = with_number(batch, "raw", "n_").withColumns({"unparsed": garbled_number(F.col("raw")), "kind": F.coalesce("n_kind", F.lit("identifier")), "status": F.lit("active"), "method": F.lit("text_layer"),
+                                                             "confidence": F.lit(1.0), "ambiguous": F.lit(False)})
+        none = typed.select("report_id", "fid").limit(0)
+        return checks.check_low_confidence(typed, none).join(typed.select("fid", "version_id"), "fid").select("version_id", "fid", "severity")
+
+    streams.check_stream(figures, check, out, state)
+    return t.spark.read.parquet(out).select("version_id", "fid", "severity")
