@@ -11,7 +11,11 @@ from figtrail.functions.text import core_of, has_digit, once
 EXPORT_KINDS = ["number", "percent", "bps", "multiple", "nil", "date"]
 EXPORT_ROLES = ["cell", "text", "chart_label"]
 EXPORT_COLUMNS = ["id", "section", "table_id", "row_label", "col_label", "period", "raw", "value", "kind", "unit", "currency", "source_page", "source_bbox", "method", "confidence"]
-DIGIT_TOKEN = r"(\S*[0-9]\S*)"
+
+
+def digit_tokens(text: Column, apart: str = r"\s+") -> Column:
+    """Number-bearing words. Split and filtered, because a search for them is quadratic in a long word without digits."""
+    return F.filter(F.split(text, apart), has_digit)
 
 
 def export_rows(figures: DataFrame, sections: DataFrame) -> DataFrame:
@@ -139,8 +143,8 @@ def check_rendered(pieces: DataFrame, figures: DataFrame, meta: DataFrame) -> Da
     labels = meta.select("report_id", F.col("meta_key").alias("ref"), F.col("meta_value"))
     lab = (pieces.filter((F.col("kind") == "label") & has_digit(F.col("text"))).join(labels, ["report_id", "ref"], "left").withColumn("actual", shown)
            .withColumn("problem", F.when(~F.col("actual").eqNullSafe(F.col("meta_value")), "label differs")))
-    loose = pieces.filter(F.col("kind") == "text").withColumn("actual", F.explode(F.regexp_extract_all("text", F.lit(DIGIT_TOKEN), F.lit(1)))).withColumn("problem", F.lit("number is no figure"))
-    attr = pieces.filter(F.col("kind") == "attribute").withColumn("actual", F.explode(F.regexp_extract_all("text", F.lit(DIGIT_TOKEN), F.lit(1)))).withColumn("token", _trimmed(F.col("actual")))
+    loose = pieces.filter(F.col("kind") == "text").withColumn("actual", F.explode(digit_tokens(F.col("text")))).withColumn("problem", F.lit("number is no figure"))
+    attr = pieces.filter(F.col("kind") == "attribute").withColumn("actual", F.explode(digit_tokens(F.col("text")))).withColumn("token", _trimmed(F.col("actual")))
     attr = attr.join(allowed_tokens(meta), ["report_id", "token"], "left_anti").withColumn("problem", F.lit("number in attributes is no label"))
     cols = ["report_id", "name", "piece_no", "ref", "problem", "actual"]
     out = fig.filter(F.col("problem").isNotNull()).select(*cols)
@@ -161,7 +165,7 @@ def check_jsonld(pieces: DataFrame, meta: DataFrame) -> DataFrame:
     kept = F.regexp_replace(kept, r"\"[^\"]*\"\s*:", "")
     strings = F.filter(F.regexp_extract_all(kept, F.lit(r"\"([^\"]*)\""), F.lit(1)), lambda s: ~s.rlike("^(https?:)?//|^/"))
     bare = F.regexp_extract_all(F.regexp_replace(kept, r"\"[^\"]*\"", " "), F.lit(r"(-?[0-9][0-9.eE+-]*)"), F.lit(1))
-    toks = F.concat(F.flatten(F.transform(strings, lambda s: F.regexp_extract_all(s, F.lit(DIGIT_TOKEN), F.lit(1)))), bare)
+    toks = F.concat(F.flatten(F.transform(strings, lambda s: digit_tokens(s))), bare)
     found = blocks.filter("valid").withColumn("actual", F.explode(toks)).withColumn("token", _trimmed(F.col("actual")))
     other = found.join(allowed_tokens(meta), ["report_id", "token"], "left_anti").select("report_id", "name", "piece_no", F.lit("number is no label").alias("problem"), "actual")
     return invalid.unionByName(other).withColumns({"check_name": F.lit("rendered_page"), "severity": F.lit("blocking")})
@@ -170,7 +174,7 @@ def check_jsonld(pieces: DataFrame, meta: DataFrame) -> DataFrame:
 def check_markdown(lines: DataFrame, figures: DataFrame, meta: DataFrame) -> DataFrame:
     """lines: report_id, line_no, line. Every number-bearing word is a figure, a word of one, or a label's."""
     text = F.regexp_replace("line", r"\]\([^)]*\)", "]")
-    toks = lines.select("report_id", "page", "line_no", F.explode(F.regexp_extract_all(text, F.lit(r"([^\s|]*[0-9][^\s|]*)"), F.lit(1))).alias("actual"))
+    toks = lines.select("report_id", "page", "line_no", F.explode(digit_tokens(text, r"[\s|]+")).alias("actual"))
     core = F.regexp_replace("actual", "^[*_`,;:]+|[*_`,;:]+$", "")
     forms = toks.withColumn("token", F.explode(F.array_distinct(F.array(F.col("actual"), F.regexp_replace("actual", "[,;:]+$", ""), core, core_of(core)))))
     raws = figures.select("report_id", F.explode(F.concat(F.array("raw"), F.split("raw", " "))).alias("token"))

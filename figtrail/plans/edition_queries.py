@@ -233,7 +233,13 @@ def m9(t):
     return m.vote_currency(t("fx_texts"))
 
 
-@query("m10_vote_unit", None)
+@query("m10_vote_unit", f"""
+    WITH {CURV}, t AS (SELECT f.report_id, CASE WHEN lower(u) IN ('crore') THEN 'crore' WHEN lower(u) = 'lakhs' THEN 'lakh' WHEN lower(u) = 'million' THEN 'million' ELSE 'billion' END AS unit, CASE WHEN mk IN ('₹', 'Rs.', 'Rs') THEN 'INR' ELSE 'USD' END AS cur
+        FROM (SELECT report_id, unnest(list_concat(regexp_extract_all(text, '(₹|Rs\\.?|US\\$|\\$)\\s*(?:in\\s+)?(crore|lakhs|million|Billion)\\b', 1), regexp_extract_all(text, '(₹|Rs\\.?|US\\$|\\$)\\s?[0-9][0-9,.]*\\s?(crore|lakhs|million|Billion)\\b', 1))) AS mk,
+                     unnest(list_concat(regexp_extract_all(text, '(₹|Rs\\.?|US\\$|\\$)\\s*(?:in\\s+)?(crore|lakhs|million|Billion)\\b', 2), regexp_extract_all(text, '(₹|Rs\\.?|US\\$|\\$)\\s?[0-9][0-9,.]*\\s?(crore|lakhs|million|Billion)\\b', 2))) AS u FROM fx_texts) f),
+    n AS (SELECT t.report_id, unit, count(*) AS n FROM t JOIN cv ON cv.report_id = t.report_id AND cv.currency = t.cur GROUP BY ALL),
+    r AS (SELECT *, lead(n) OVER w AS ru, row_number() OVER w AS k FROM n WINDOW w AS (PARTITION BY report_id ORDER BY n DESC, unit DESC))
+    SELECT report_id, unit, CASE WHEN n >= 2 AND n >= 2 * COALESCE(ru, 0) THEN 'high' ELSE 'medium' END AS confidence FROM r WHERE k = 1""")
 def m10(t):
     return m.vote_unit(t("fx_texts"), m.vote_currency(t("fx_texts")))
 

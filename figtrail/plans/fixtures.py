@@ -233,7 +233,7 @@ FIXTURES: dict[str, str] = {
         SELECT page % 25 AS report_id, page, row_no, w AS word_no, text, x0, y0, x0 + CAST(6 * length(text) AS DOUBLE) AS x1, y0 + CAST(10 AS DOUBLE) AS y1, CAST(10 AS DOUBLE) AS size, FALSE AS bold, CAST(0.9 AS DOUBLE) AS conf
         FROM (SELECT o_orderkey AS page, 0 AS row_no, w, CASE WHEN w = 2 AND o_orderkey % 17 = 0 THEN 'Reporl' WHEN w = 3 AND o_orderkey % 5 = 0 THEN o_orderpriority ELSE t END AS text, CAST(a AS DOUBLE) AS x0, CAST(20 AS DOUBLE) AS y0
               FROM {orders} CROSS JOIN (SELECT 1 AS w, 'Annual' AS t, 50 AS a UNION ALL SELECT 2, 'Report', 100 UNION ALL SELECT 3, 'Consolidated', 150) h
-              UNION ALL SELECT o_orderkey, 1, 1, CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_custkey AS STRING) ELSE CAST(o_orderkey + 4 AS STRING) END, CAST(300 AS DOUBLE), CAST(770 AS DOUBLE) FROM {orders}
+              UNION ALL SELECT o_orderkey, 1, 1, CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_custkey AS STRING) ELSE CAST(CAST(floor(o_orderkey / 25) AS BIGINT) + 4 AS STRING) END, CAST(300 AS DOUBLE), CAST(770 AS DOUBLE) FROM {orders}
               UNION ALL SELECT o_orderkey, 2, 1, o_orderpriority, CAST(50 AS DOUBLE), CAST(400 AS DOUBLE) FROM {orders}) x WHERE text <> ''""",
     # ---- chart pages: a column of evenly spaced ticks beside other numbers
     "fx_ticks": """

@@ -71,12 +71,12 @@ def w4(t):
 @query("w5_page_number_words", """
     WITH c AS (SELECT m.report_id, m.page, m.row_no, m.word_no, CAST(text AS BIGINT) AS v FROM fx_margin m JOIN fx_grid_pages p USING (report_id, page) WHERE regexp_matches(text, '^\\d{1,4}$') AND CAST(text AS BIGINT) BETWEEN 1 AND 3000
         AND (y1 <= height * 0.12 OR y0 >= height * 0.88 OR x1 <= width * 0.1 OR x0 >= width * 0.9)),
-    k AS (SELECT *, 1 AS slope, v - page AS off FROM c UNION ALL SELECT *, 2, v - 2 * page FROM c UNION ALL SELECT *, 2, v - 2 * page - 1 FROM c),
+    k AS (SELECT *, 1 AS slope, v - page // 25 AS off FROM c UNION ALL SELECT *, 2, v - 2 * (page // 25) FROM c UNION ALL SELECT *, 2, v - 2 * (page // 25) - 1 FROM c),
     g AS (SELECT report_id, slope, off, count(DISTINCT page) AS n FROM k GROUP BY ALL), t AS (SELECT report_id, count(*) AS total FROM fx_grid_pages GROUP BY ALL)
     SELECT DISTINCT k.report_id, k.page, k.row_no, k.word_no, k.v FROM k JOIN g USING (report_id, slope, off) JOIN t USING (report_id)
     WHERE total >= 2 AND n >= CASE WHEN slope = 1 THEN CASE WHEN total <= 3 THEN total ELSE greatest(3, ceil(total * 3 / 10)) END ELSE greatest(3, CASE WHEN total <= 3 THEN total ELSE ceil(total * 3 / 10) END) END""")
 def w5(t):
-    pages = t("fx_grid_pages").withColumn("index", F.col("page"))
+    pages = t("fx_grid_pages").withColumn("index", F.floor(F.col("page") / 25))
     return lay.page_number_words(t("fx_margin"), pages).select("report_id", "page", "row_no", "word_no", F.col("text").cast("bigint").alias("v"))
 
 
@@ -179,9 +179,10 @@ def w14(t):
     return df.select("report_id", "page", "table_no", "ncols", "nrows", "filled", "unplaced", F.array_join("problems", ",").alias("problems"))
 
 
-@query("w15_kpi_pairs", None)
+@query("w15_kpi_pairs", """
+    SELECT report_id, page, 'Tax' AS label, raw AS value FROM (SELECT o_orderkey % 25 AS report_id, o_orderkey AS page, c.raw FROM orders JOIN fx_cells c ON c.report_id = o_orderkey WHERE c.row_no = 1 AND c.col_no = 3)""")
 def w15(t):
-    return lay.kpi_pairs(_segs(t))
+    return lay.kpi_pairs(_segs(t)).select("report_id", "page", "label", "value")
 
 
 def _heads(t):
@@ -230,7 +231,7 @@ def w20(t):
     return lay.points_in_regions(t("fx_words"), t.sql(BOXES), 2.0).select("report_id", "page", "line_no", "word_no", "region_id")
 
 
-CHART_WORDS = """SELECT p_partkey % 10 AS report_id, CAST(floor(p_partkey / 3) AS BIGINT) AS page, (p_partkey % 3) * 100 + 10 * r + k AS word_no, p_partkey % 3 AS region_id, CASE r WHEN 0 THEN split_part(p_name, ' ', 2) WHEN 1 THEN CAST(p_size + 10 * k AS STRING) ELSE CAST(2020 + 5 * k AS STRING) END AS text,
+CHART_WORDS = """SELECT CAST(floor(p_partkey / 3) AS BIGINT) % 10 AS report_id, CAST(floor(p_partkey / 3) AS BIGINT) AS page, (p_partkey % 3) * 100 + 10 * r + k AS word_no, p_partkey % 3 AS region_id, CASE r WHEN 0 THEN split_part(p_name, ' ', 2) WHEN 1 THEN CAST(p_size + 10 * k AS STRING) ELSE CAST(2020 + 5 * k AS STRING) END AS text,
     CAST(20 + 60 * k AS DOUBLE) AS x0, CAST(200 * (p_partkey % 3) + 20 + 40 * r AS DOUBLE) AS y0, CAST(40 + 60 * k AS DOUBLE) AS x1, CAST(200 * (p_partkey % 3) + 30 + 40 * r AS DOUBLE) AS y1
     FROM {part} CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2) a CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) b WHERE r > 0 OR k = 0"""
 

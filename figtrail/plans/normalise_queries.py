@@ -135,6 +135,13 @@ _WORDLIKE = f"""(length(w) >= 4 AND {_CASEOK} AND length(regexp_replace(lower(w)
 _LEAD = "^[\\s•·▪►*‐‑‒–—―\\-‘’“”''\"…]+"
 
 
+USABLE = f"""CASE WHEN regexp_matches(c, '^[\\p{{Lu}}0-9]') AND length(c) >= 4 AND length(regexp_replace(c, '[^A-Za-z]', '', 'g'))::DOUBLE / greatest(length(c), 1) >= 0.6 AND len(ws) > 0
+        AND len(list_filter(ws, lambda w: length(w) > 3 OR w <> upper(w))) > 0 AND len(list_filter(ws, lambda w: {_OKWORD}))::DOUBLE / greatest(len(ws), 1) >= 0.75
+        AND NOT (method = 'ocr' AND NOT contains(c, ' ') AND c = upper(c) AND c <> lower(c)) THEN shown END"""
+USABLE_FROM = f"""(SELECT *, list_filter(string_split(c, ' '), lambda w: regexp_matches(w, '[A-Za-z]')) AS ws FROM (SELECT *, trim(regexp_replace(shown, '^\\(?(?:[0-9]{{1,3}}|[a-zA-Z]|[ivxIVX]{{1,4}})[.)]\\s+', '')) AS c
+    FROM (SELECT *, trim(regexp_replace(trim(regexp_replace(heading, '\\s+', ' ', 'g')), '{_LEAD}', '')) AS shown FROM fx_sections)))"""
+
+
 @query("n13_heading_quality", f"""
     SELECT section_id, CASE WHEN regexp_matches(c, '^[\\p{{Lu}}0-9]') AND length(c) >= 4 AND length(regexp_replace(c, '[^A-Za-z]', '', 'g'))::DOUBLE / greatest(length(c), 1) >= 0.6 AND len(ws) > 0
         AND len(list_filter(ws, lambda w: length(w) > 3 OR w <> upper(w))) > 0 AND len(list_filter(ws, lambda w: {_OKWORD}))::DOUBLE / greatest(len(ws), 1) >= 0.75

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from figtrail.operators import review as op
 from figtrail.plans import duck
+from figtrail.plans.normalise_queries import USABLE, USABLE_FROM
 from figtrail.plans.registry import query
 
 CONF = "('traceability','second_parser','re_extraction','arithmetic','cross_table')"
@@ -165,7 +166,10 @@ def a8b(t):
     return op.review_totals(t("fx_issues"), {"severity": "blocking"})
 
 
-@query("a9_section_labels", None)
+@query("a9_section_labels", f"""
+    WITH u AS (SELECT report_id, section_id, ord, page, {USABLE} AS h FROM {USABLE_FROM}),
+    n AS (SELECT *, row_number() OVER (PARTITION BY report_id, page, h IS NULL ORDER BY ord) AS k FROM u)
+    SELECT report_id, section_id, CASE WHEN h IS NOT NULL THEN 'p' || page || ' · ' || CASE WHEN length(h) > 60 THEN left(h, 57) || '…' ELSE h END ELSE 'Section on page ' || page || CASE WHEN k > 1 THEN ' · ' || k ELSE '' END END AS label FROM n""")
 def a9(t):
     return op.section_labels(t("fx_sections")).select("report_id", "section_id", "label")
 
