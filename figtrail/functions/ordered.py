@@ -41,6 +41,15 @@ def running_sum(df: DataFrame, keys: list[str], block: str | Column, order: list
             .withColumn(out, F.coalesce("_local", zero) + F.coalesce("_before", zero)).drop("_block", "_local", "_before"))
 
 
+def running_max(df: DataFrame, keys: list[str], block: str | Column, order: list, value: str, out: str) -> DataFrame:
+    df = df.withColumn("_block", block if isinstance(block, Column) else F.col(block))
+    tops = df.groupBy(*keys, "_block").agg(F.max(value).alias("_top"))
+    offsets = _block_offsets(tops, keys, "_block", F.max("_top"), "_before").drop("_top")
+    frame = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = df.withColumn("_local", F.max(value).over(frame))
+    return _join_back(local, offsets, keys).withColumn(out, F.greatest("_local", "_before")).drop("_block", "_local", "_before")
+
+
 def last_seen(df: DataFrame, keys: list[str], block: str | Column, order: list[str], value: str, out: str,
               inclusive: bool = True) -> DataFrame:
     """The last non-null ``value`` at (or, exclusive, before) each row, along ascending ``order``."""

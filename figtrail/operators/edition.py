@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from figtrail.functions.ordered import first_seen_after, last_seen, numbered
+from figtrail.functions.ordered import first_seen_after, last_seen, numbered, running_max
 from figtrail.functions.text import once, squeezed
 from figtrail.operators.sections import has_word, unfinished
 
@@ -73,8 +73,9 @@ def outline_sections(outline: DataFrame, sections: DataFrame) -> DataFrame:
     at = first_seen_after(asked, ["report_id"], F.floor(F.col("page") / 256), ["page", "bookmark_no"], "place", "_next")
     same = opening.select("report_id", "page", F.col("place").alias("_same"))
     first = at.filter("bookmark_no >= 0").join(same, ["report_id", "page"], "left").withColumn("p", F.coalesce("_same", "_next")).filter("p IS NOT NULL")
-    w = W.partitionBy("report_id").orderBy("bookmark_no")
-    run = first.withColumn("_i", F.row_number().over(w)).withColumn("place", F.max(F.col("p") - F.col("_i")).over(w) + F.col("_i"))
+    block = F.floor(F.col("bookmark_no") / 4096)
+    run = numbered(first, ["report_id"], block, ["bookmark_no"], "_i").withColumn("_lead", F.col("p") - F.col("_i"))
+    run = running_max(run.drop("place"), ["report_id"], block, ["bookmark_no"], "_lead", "_top").withColumn("place", F.col("_top") + F.col("_i"))
     return run.select("report_id", "bookmark_no", F.trim("title").alias("title"), "place").join(places.select("report_id", "place", "section_id", "ord"), ["report_id", "place"]).select("report_id", "bookmark_no", "title", "section_id", "ord")
 
 

@@ -95,7 +95,7 @@ def status_alerts(observations: DataFrame) -> DataFrame:
 
 
 def queue_health(jobs: DataFrame, heartbeats: DataFrame, now: str) -> DataFrame:
-    """One row: two aggregates of one row each are put side by side."""
+    """One row: two aggregates of one row each, stacked and folded into one."""
     t = F.lit(now).cast("timestamp_ntz")
     at = _now_epoch(now)
     waiting = (F.col("status") == "queued") & (F.col("run_after") <= t)
@@ -104,7 +104,9 @@ def queue_health(jobs: DataFrame, heartbeats: DataFrame, now: str) -> DataFrame:
         F.bround(at - F.min(F.when(waiting, _epoch("run_after")))).cast("bigint").alias("oldest_queued_seconds"))
     hb = heartbeats.agg(F.count_distinct(F.when(at - _epoch("seen_at") < WORKER_ALIVE, F.col("worker_id"))).alias("workers_alive"),
                         F.bround(at - F.max(_epoch("seen_at"))).cast("bigint").alias("worker_last_seen_seconds"))
-    return q.join(hb).withColumn("stalled", (F.col("queued") > 0) & (F.col("workers_alive") == 0) & (F.coalesce("oldest_queued_seconds", F.lit(0)) > QUEUE_STALL))
+    both = q.unionByName(hb, allowMissingColumns=True)
+    one = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return one.withColumn("stalled", (F.col("queued") > 0) & (F.col("workers_alive") == 0) & (F.coalesce("oldest_queued_seconds", F.lit(0)) > QUEUE_STALL))
 
 
 def _now_epoch(now: str) -> Column:

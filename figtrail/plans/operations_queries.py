@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -20,11 +20,7 @@ NOW_TS = "TIMESTAMP '2024-01-31 00:00:00'"
 
 def _scratch(t) -> tuple[str, str]:
     """A fresh output and state folder under the shared checkpoint folder."""
-    base = checkpoint_folder(t.spark)
-    if base.startswith("/"):
-        run = tempfile.mkdtemp(prefix="stream-", dir=base)
-    else:
-        run = f"{base.rstrip('/')}/stream-{t.spark.sparkContext.applicationId}-{id(t)}"
+    run = f"{checkpoint_folder(t.spark).rstrip('/')}/run-{uuid.uuid4().hex}"
     return run + "/out", run + "/state"
 
 

@@ -144,8 +144,8 @@ def s9(t):
 
 
 @query("s9_content_identity", """
-    WITH h AS (SELECT report_id, page, sha256('{"fid":"' || fid || '","status":"' || status || '"}') AS h FROM fx_figs), p AS (SELECT report_id, page, h[1:3] AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY ALL)
-    SELECT report_id, page, sha256(string_agg(h, '' ORDER BY b)) AS content_sha FROM p GROUP BY ALL""")
+    WITH h AS (SELECT report_id, page, sha256('{"fid":"' || fid || '","status":"' || status || '"}') AS h FROM fx_figs)
+    SELECT report_id, page, sha256(concat_ws('|', count(*), sum(CAST('0x' || h[1:15] AS UBIGINT)), sum(CAST('0x' || h[16:30] AS UBIGINT)), sum(CAST('0x' || h[31:45] AS UBIGINT)), sum(CAST('0x' || h[46:60] AS UBIGINT)))) AS content_sha FROM h GROUP BY ALL""")
 def s9b(t):
     return site.content_identity(t("fx_figs"), ["report_id", "page"], ["fid", "status"])
 

@@ -29,12 +29,14 @@ def local_session(app: str = "figtrail", cores: int | str = 8, **extra: str) ->
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a fresh local one only where it is unset."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if named is None and context.getCheckpointDir() is not None:
+        return context.getCheckpointDir()
+    folder = named or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
