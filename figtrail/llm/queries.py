@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from figtrail.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, secrets, token_files
+from figtrail.llm import class_lm, embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, secrets, token_files, warc
 from figtrail.llm.common import fresh_folder, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,12 @@ def near(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op2_class_lm")
+def perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return class_lm.score(docs, *class_lm.fit(docs))
+
+
 @query("op3_quality")
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -59,6 +65,27 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, parts, to)
 
 
+DAMAGED = 50  # the replica is damaged where page_id leaves 7 when divided by this
+
+
+def _damaged(page: int | None) -> bool:
+    return page is not None and page % DAMAGED == 7
+
+
+@query("op5_warc_fixity", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+  || 'WARC-Date: {warc.DATE}' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+  || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) AS head, chr(13) || chr(10) || chr(13) || chr(10) AS tail FROM pages),
+r AS (SELECT page_id, h, head, tail, row_number() OVER (ORDER BY page_id) - 1 AS seq, strlen(head || h || tail) AS length, (sum(strlen(head || h || tail)) OVER (ORDER BY page_id))::BIGINT - strlen(head || h || tail) AS "offset" FROM p)
+SELECT seq, page_id, "offset", length, sha256(head || h || tail) AS primary_sha256, sha256(head || chr(xor(ascii(h), 1)) || substring(h, 2) || tail) AS replica_sha256 FROM r WHERE page_id % {DAMAGED} = 7 AND h <> ''
+""")
+def fixity(spark: SparkSession, folder: str) -> DataFrame:
+    first, second = fresh_folder(spark, "warc"), fresh_folder(spark, "warc-replica")
+    manifest = warc.write_warc(table(spark, folder, "pages"), first)
+    warc.damaged_copy(manifest, first, second, _damaged)
+    return warc.audit(manifest, first, second)
+
+
 @query("op6_exact_dedup", f"""
 WITH n AS (SELECT doc_id, {LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256 FROM n WINDOW g AS (PARTITION BY t)
