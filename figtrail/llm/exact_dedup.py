@@ -1,14 +1,14 @@
-"""Exact duplicates by sorting content: texts are range partitioned by their normalised bytes with sampled splitters,
-sorted inside each partition, and each row is compared in full with its neighbour."""
+"""Exact duplicates by sorting content: texts are range partitioned by their normalised bytes with sampled splitters
+(which need no more than a text's start and digest), sorted inside each partition, and each row is compared in full with
+its neighbour."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,21 +18,21 @@ FIRST, LAST, ONLY = 0, 1, 2
 
 
 def _sorted(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """The id stands behind the text in the order, so a group of copies may fill several partitions."""
-    columns = [F.col(id_col).cast("long").alias("_id"), ascii_lower(F.col(text_col)).alias("_text"), F.monotonically_increasing_id().alias("_tie"),
-               F.struct(*carry).alias("_row")] if carry else [F.col(id_col).cast("long").alias("_id"), ascii_lower(F.col(text_col)).alias("_text"), F.monotonically_increasing_id().alias("_tie")]
-    order = [F.col("_text"), F.col("_id").desc_nulls_last(), F.col("_tie")]
-    return docs.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
+    """The order is the text's first characters, its SHA-256 and the id: splitters that the driver samples stay short, and
+    a group of copies may fill several partitions."""
+    text = docs.select(F.col(id_col).cast("long").alias("_id"), ascii_lower(F.col(text_col)).alias("_text"), F.monotonically_increasing_id().alias("_tie"), *([F.struct(*carry).alias("_row")] if carry else []))
+    keyed = text.withColumn("_start", F.substring("_text", 1, 32)).withColumn("_sha", F.sha2("_text", 256))
+    order = [F.col("_start"), F.col("_sha"), F.col("_id").desc_nulls_last(), F.col("_tie")]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text", "_sha", *(["_row"] if carry else []))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document: its run in this partition, the run's first id and size. Runs that touch an end of the
     partition are marked and carry their text once, so that they can be compared with the neighbour partition's."""
-    part, ids, text, first = TaskContext.get().partitionId(), [], None, True
+    part, ids, text, sha, first = TaskContext.get().partitionId(), [], None, None, True
     rows: list[tuple] = []
 
     def close(edge: int | None) -> None:
-        sha = hashlib.sha256(text).hexdigest()
         for i, one in enumerate(ids):
             rows.append((one, ids[0], len(ids), i == 0, sha, part, edge, text if edge is not None and i == 0 else None))
 
@@ -42,14 +42,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for b in batches:
-        for one, now in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+        for one, now, digest in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
             if text is not None and now == text:
                 ids.append(one)
                 continue
             if text is not None:
                 close(FIRST if first else None)
                 first = False
-            text, ids = now, [one]
+            text, sha, ids = now, digest, [one]
         if rows:
             yield flush()
     if text is not None:
