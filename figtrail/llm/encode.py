@@ -7,8 +7,7 @@ import re
 import threading
 import unicodedata
 
-#: Entries of a cache of one Python worker; a full cache is emptied. A bound on memory, not on texts.
-CACHED = 400_000
+from figtrail.llm.common import CACHED
 
 _PLAIN = "\x21-\x7eà-öø-ÿßÀ-ÖØ-Þ"
 _LETTERS = "a-zà-öø-ÿß"

@@ -10,25 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figtrail.llm.common import as_bytes, stored
+from figtrail.llm.common import as_bytes, stored, word_hashes
 from figtrail.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 6: two texts of similarity 0.8 share no band once in 17,000, of 0.85 once in 4 million.
 BANDS, ROWS = 32, 6
 ROUNDS = 2
-CACHED = 500_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -40,7 +28,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """64-bit hashes of the runs of `words` words, repeats included; a shorter text is one shingle of all its words, a
     text without words has none. Words: A-Z lower-cased, split at white space."""
-    h = np.fromiter(map(_hashes.__getitem__, text.lower().split()), np.uint64)
+    h = word_hashes(text.lower().split())
     n = min(words, len(h))
     if not n:
         return h

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,33 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figtrail.llm.common import as_bytes, part_of
+from figtrail.llm.common import as_bytes, part_of, word_hashes
 
 DIMENSIONS = 1 << 18
 #: At most about this many labelled documents train the model: a bound on the fit, not on what is scored.
 SAMPLE = 20_000
 SHARDS, EPOCHS = 8, 3
 ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.02, 0.5
-CACHED = 500_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        value = self[word] = zlib.crc32(word) * 0x9E3779B1 & 0xFFFFFFFF
-        return value
-
-
-_hashes = _Hashes()
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text: hashed words and word pairs, square roots of counts, scaled to length 1. Words are the
     text lower-cased for A-Z and split at white space; whether they were upper case is kept by hashing the raw words
     too. A text without words has the bias alone (slot 0)."""
-    raw = np.fromiter(map(_hashes.__getitem__, text.split()), np.uint64)
-    low = np.fromiter(map(_hashes.__getitem__, text.lower().split()), np.uint64)
+    raw = word_hashes(text.split())
+    low = word_hashes(text.lower().split())
     pairs = low[:-1] * np.uint64(0x85EBCA6B) + low[1:] * np.uint64(0xC2B2AE35)
     keys = np.concatenate([low, pairs ^ (pairs >> np.uint64(29)), raw + np.uint64(0x51ED2701)])
     keys = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)
@@ -103,8 +90,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            at = [features(t) for t in as_bytes(b.column("_text"))]
-            raw = np.array([w[s] @ x for s, x in at], float)
+            raw = np.array([w[s] @ x for s, x in map(features, as_bytes(b.column("_text")))], float)
             p = 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], names=[*b.schema.names[:-1], "score"])
 
