@@ -12,13 +12,18 @@ def once(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in fields.items()]))))
 
 
+def plain_blanks(c: Column) -> Column:
+    """No-break, figure and narrow no-break spaces, of which printed text is full, as blanks."""
+    return F.translate(c, "\u00a0\u2007\u202f", "   ")
+
+
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(plain_blanks(c), r"^\s+|\s+$", "")
 
 
 def squeezed(c: Column) -> Column:
     """White space runs become one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(plain_blanks(c), r"\s+", " "))
 
 
 def null_if_empty(c: Column) -> Column:

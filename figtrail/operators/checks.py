@@ -153,6 +153,13 @@ def cell_values(cells: DataFrame) -> DataFrame:
     return df.withColumn("value", value).drop(*[f"_v_{f}" for f in ("kind", "value", "value_str", "scale", "grouping", "currency_symbol", "negative")])
 
 
+def without_changes(cells: DataFrame, columns: DataFrame | None) -> DataFrame:
+    """Cells of columns that state a change are no amounts: they neither add up nor balance."""
+    if columns is None:
+        return cells
+    return cells.join(columns.filter(F.col("change").isNotNull()).select(*TABLE, "col_no").distinct(), [*TABLE, "col_no"], "left_anti")
+
+
 def _total_segments(cells: DataFrame) -> DataFrame:
     """Row by row: its cells, whether it is a total, and how many totals came before it in the table."""
     rows = (cell_values(cells).groupBy(*TABLE, "row_no").agg(
@@ -181,15 +188,17 @@ def _total_votes(cells: DataFrame) -> DataFrame:
             .withColumn("n_ok", F.size(F.filter("judged", lambda c: c["ok"]))).withColumn("n_bad", F.size("judged") - F.col("n_ok")).filter(F.col("n_ok") > 0))
 
 
-def check_totals(cells: DataFrame) -> DataFrame:
-    bad = _total_votes(cells).withColumn("c", F.explode(F.filter("judged", lambda c: ~c["ok"])))
+def check_totals(cells: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """columns: report_id, table_id, col_no, change; columns with a change kind are left out."""
+    bad = _total_votes(without_changes(cells, columns)).withColumn("c", F.explode(F.filter("judged", lambda c: ~c["ok"])))
     return bad.select(*TABLE, F.col("c.t.row_no").alias("row_no"), F.col("c.col_no").alias("col_no"), F.lit("arithmetic").alias("check_name"),
                       F.when(F.col("n_ok") >= F.col("n_bad"), "blocking").otherwise("warning").alias("severity"),
                       F.col("c.t.label").alias("label"), F.col("c.s").cast("decimal(38,4)").cast("string").alias("expected"), F.col("c.t.raw").alias("actual"))
 
 
-def cells_in_totals(cells: DataFrame) -> DataFrame:
+def cells_in_totals(cells: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     """Cells a total was checked with, and whether their column adds up."""
+    cells = without_changes(cells, columns)
     verdicts = _total_votes(cells).withColumn("c", F.explode("judged")).select(*TABLE, "segment", F.col("c.col_no").alias("col_no"), F.col("c.ok").alias("confirmed"))
     parts = _total_segments(cells).withColumn("c", F.explode("row_cells")).filter(F.col("c.value").isNotNull()).select(
         *TABLE, "segment", "row_no", F.col("c.col_no").alias("col_no"))
@@ -202,8 +211,8 @@ ASSETS = r"(?i)^total assets$"
 EQUITY_AND_LIABILITIES = r"(?i)^total (equity and liabilities|liabilities and (shareholders'? )?equity|equity & liabilities)$"
 
 
-def check_balance(cells: DataFrame) -> DataFrame:
-    label = F.trim("label")
+def check_balance(cells: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    cells, label = without_changes(cells, columns), F.trim("label")
     first = lambda rx: F.min_by(F.struct("value", "raw"), F.when(label.rlike(rx), F.col("row_no")))
     kept = cells.filter(label.rlike(ASSETS) | label.rlike(EQUITY_AND_LIABILITIES))
     both = cell_values(kept).groupBy(*TABLE, "col_no").agg(first(ASSETS).alias("a"), first(EQUITY_AND_LIABILITIES).alias("l"))
@@ -235,10 +244,12 @@ def check_stated_changes(cells: DataFrame, columns: DataFrame) -> DataFrame:
     roles = chosen.withColumn("r", F.explode(F.array(*[F.struct(F.lit(n).alias("role"), F.col(k).alias("col_no")) for n, k in (("stated", "c"), ("cur", "cur"), ("prev", "prev"))]))).select(
         *TABLE, "c", "r.role", "r.col_no")
     parsed = with_number(cells, "raw", "_v_").withColumn("num", F.when(F.col("_v_kind").isin("number", "percent"), F.col("_v_value")).when(F.col("_v_kind") == "nil", F.lit(0).cast("decimal(38,10)")))
-    one = parsed.select(*TABLE, "label", "col_no", "raw", F.col("_v_kind").alias("kind"), F.col("num").cast("decimal(24,6)").alias("num")).join(roles, [*TABLE, "col_no"])
+    # labels repeat within a table; a row number, where the cells have one, tells the rows apart
+    row = ["row_no", "label"] if "row_no" in cells.columns else ["label"]
+    one = parsed.select(*TABLE, *row, "col_no", "raw", F.col("_v_kind").alias("kind"), F.col("num").cast("decimal(24,6)").alias("num")).join(roles, [*TABLE, "col_no"])
     pick = lambda role, ok: F.max(F.when((F.col("role") == role) & ok, F.struct("num", "raw")))
     plain = F.col("kind").isin("number", "nil")
-    trio = one.groupBy(*TABLE, "c", "label").agg(pick("stated", F.col("kind") == "percent").alias("s"), pick("cur", plain).alias("u"), pick("prev", plain).alias("p"))
+    trio = one.groupBy(*TABLE, "c", *row).agg(pick("stated", F.col("kind") == "percent").alias("s"), pick("cur", plain).alias("u"), pick("prev", plain).alias("p"))
     trio = trio.filter(F.col("s").isNotNull() & F.col("u").isNotNull() & F.col("p").isNotNull() & (F.col("p.num") != 0))
     cur, prev, st = F.col("u.num"), F.col("p.num"), F.col("s.num").cast("decimal(14,4)")
     half = lambda raw: F.lit(5).cast("decimal(2,0)") * F.pow(F.lit(10.0), -printed_decimals(raw) - 1).cast("decimal(12,8)")
@@ -247,8 +258,8 @@ def check_stated_changes(cells: DataFrame, columns: DataFrame) -> DataFrame:
     off = F.abs((cur - prev) - st * F.abs(prev) * hundredth)
     allowed = half(F.col("s.raw")) * F.abs(prev) * hundredth + half(F.col("u.raw")) * 2
     computed = (cur.cast("double") - prev.cast("double")) / F.abs(prev.cast("double")) * 100
-    return trio.filter(off > allowed).select(*TABLE, F.col("c").alias("col_no"), "label", F.lit("arithmetic").alias("check_name"), F.lit("warning").alias("severity"),
-                                             F.bround(computed, 1).alias("expected_change"), F.col("s.raw").alias("actual"))
+    return trio.filter(off > allowed).select(*TABLE, F.col("c").alias("col_no"), *row, F.lit("arithmetic").alias("check_name"), F.lit("warning").alias("severity"),
+                                             F.when(printed_decimals(F.col("s.raw")) == 0, F.bround(computed, 0)).when(printed_decimals(F.col("s.raw")) == 1, F.bround(computed, 1)).otherwise(F.bround(computed, 2)).alias("expected_change"), F.col("s.raw").alias("actual"))
 
 
 # ------------------------------------------------------------------ C7–C9: tables against each other and their headers

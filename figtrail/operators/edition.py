@@ -288,4 +288,4 @@ def font_census(pages: DataFrame) -> DataFrame:
     first = F.regexp_replace(F.trim(F.split(F.col("f"), ",")[0]), "^['\"]+|['\"]+$", "")
     every = pages.select("report_id", F.explode(F.regexp_extract_all("css", F.lit(r"(?i)font-family\s*:\s*([^;}\"]+)"), F.lit(1))).alias("f")).select("report_id", first.alias("font"))
     used = every.filter((F.col("font") != "") & ~F.lower("font").isin("inherit", "initial") & ~F.startswith("font", F.lit("var("))).groupBy("report_id", "font").agg(F.count(F.lit(1)).alias("uses"))
-    return used.withColumn("_n", F.row_number().over(W.partitionBy("report_id").orderBy(F.desc("uses"), "font"))).filter("_n <= 6").drop("_n")
+    return used.withColumn("rank", F.row_number().over(W.partitionBy("report_id").orderBy(F.desc("uses"), "font")))

@@ -27,8 +27,8 @@ def export_rows(figures: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def export_figures(figures: DataFrame, sections: DataFrame, path: str, form: str = "csv") -> None:
-    """One folder per report, written where the rows are."""
-    out = export_rows(figures, sections).select("report_id", *EXPORT_COLUMNS).write.mode("overwrite").partitionBy("report_id")
+    """One folder per report. Rows are gathered by report first (a large report stays several tasks), so a task writes few files."""
+    out = export_rows(figures, sections).select("report_id", *EXPORT_COLUMNS).hint("rebalance", "report_id").write.mode("overwrite").partitionBy("report_id")
     out.option("header", True).csv(path) if form == "csv" else out.json(path)
 
 

@@ -11,7 +11,9 @@ TYPE_WORDS = {"quarterly_results": "results", "investor_presentation": "investor
 
 
 def _window(hits: DataFrame, now: str, days: int) -> DataFrame:
-    since = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL '{max(1, min(days, 365))}' DAY")
+    if days < 1:
+        raise ValueError("days is 1 or more")
+    since = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL '{int(days)}' DAY")
     return hits.filter((F.col("at_ts") >= since) & (F.col("status") < 400)).withColumn("agent_class", agent_class(F.col("user_agent")))
 
 

@@ -177,7 +177,7 @@ def second_opinion_queue(issues: DataFrame, figures: DataFrame, budgets: DataFra
 
 def page_fingerprints(elements: DataFrame) -> DataFrame:
     """elements: report_id, page, element_id, kind, x0..y1, text -> fingerprint and element count per page."""
-    one = F.concat_ws("|", F.col("element_id").cast("string"), "kind", *[F.bround(c, 0).cast("bigint").cast("string") for c in ("x0", "y0", "x1", "y1")], F.substring("text", 1, 140))
+    one = F.concat_ws("|", F.col("element_id").cast("string"), "kind", *[F.bround(c, 0).cast("bigint").cast("string") for c in ("x0", "y0", "x1", "y1")], "text")
     return elements.groupBy("report_id", "page").agg(
         F.substring(F.sha2(F.concat(F.lit(LAYOUT_VERSION + "\n"), F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("element_id", one.alias("sig")))), lambda e: e["sig"]), "\n")), 256), 1, 16).alias("fingerprint"),

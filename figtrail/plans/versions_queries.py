@@ -253,7 +253,7 @@ def u10(t):
     return usage.second_opinion_queue(t("fx_issues"), t("fx_run_figures"), budgets).select("version_id", "fid", "rank", "cost")
 
 
-_SIG = "concat_ws('|', CAST(line_no AS VARCHAR), 'text', CAST(CAST(round_even(x0, 0) AS BIGINT) AS VARCHAR), CAST(CAST(round_even(y0, 0) AS BIGINT) AS VARCHAR), CAST(CAST(round_even(x1, 0) AS BIGINT) AS VARCHAR), CAST(CAST(round_even(y1, 0) AS BIGINT) AS VARCHAR), left(text, 140))"
+_SIG = "concat_ws('|', CAST(line_no AS VARCHAR), 'text', CAST(CAST(round_even(x0, 0) AS BIGINT) AS VARCHAR), CAST(CAST(round_even(y0, 0) AS BIGINT) AS VARCHAR), CAST(CAST(round_even(x1, 0) AS BIGINT) AS VARCHAR), CAST(CAST(round_even(y1, 0) AS BIGINT) AS VARCHAR), text)"
 _ELS = "SELECT report_id, page, line_no AS element_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_min(text, word_no) AS text FROM fx_words GROUP BY report_id, page, line_no"
 
 

@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # a broadcast side is chosen by the planner from its measured size, never forced by a hint
     "spark.sql.autoBroadcastJoinThreshold": "32m",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -33,6 +34,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and context.getCheckpointDir() is not None:
         return context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = named or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -15,9 +15,13 @@ from figtrail.operators.operations import ALERT_PAUSE, SIGN_IN_LIMIT, SIGN_IN_WI
 
 def read_table_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 1) -> DataFrame:
     """A driver table's files as a stream; new files in the folder become new batches."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    where = f"{folder}/{table}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(where).schema).option("maxFilesPerTrigger", files_per_batch)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    # a table of any size is a folder of part files; a small one is a single file beside others
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return source.parquet(where)
+    return source.option("pathGlobFilter", f"{table}*.parquet").parquet(folder)
 
 
 def drain(stream: DataFrame, out: str, state: str, mode: str = "append") -> None:
