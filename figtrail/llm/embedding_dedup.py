@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from figtrail.llm.common import stored
 from figtrail.llm.components import components
 
-#: Radii of the levels below the root on the unit sphere.
-RADII = (1.0, 0.5, 0.25, 0.125)
+#: Radii of the levels below the root on the unit sphere. Wider ones would gather unrelated points of many dimensions, whose
+#: covering radii then prune nothing.
+RADII = (0.5, 0.25, 0.125)
 PIVOTS, PIVOT_SAMPLE, BLOCK = 8, 2048, 8192
 SLACK = 1e-9
 #: Pairs of points that two nodes are compared in at once rather than through their children.
@@ -140,35 +141,53 @@ def dual(a: _Tree, b: _Tree, same: bool, links: _Links, shift: int, threshold: f
             links.count[q] += links.weights[p].sum()
             links.join(np.concatenate([p, q]))
 
-    def visit(level: int, ni: np.ndarray, nj: np.ndarray) -> None:
-        """All pairs of these nodes of one level; when they are the same nodes of one tree, each pair once."""
-        mine = same and ni is nj
-        ci = a.points[a.runs[level][ni, 0]]
+    def settle(level: int, x: int, y: int, far: float) -> None:
+        """A node pair that may hold links."""
+        i, j = tuple(a.runs[level][x].tolist()), tuple(b.runs[level][y].tolist())
+        pairs = (i[1] - i[0]) * (j[1] - j[0])
+        if same and i == j and pairs == 1:
+            return
+        if far + a.radius[level][x] + b.radius[level][y] <= reach - SLACK:
+            whole(i, j)
+            return
+        if pairs <= DIRECT or level + 1 == len(RADII):
+            compare(i, j)
+            return
+        below = [np.flatnonzero((t.runs[level + 1][:, 0] >= r[0]) & (t.runs[level + 1][:, 1] <= r[1])) for t, r in ((a, i), (b, j))]
+        if len(below[0]) * len(below[1]) * 16 > pairs:
+            compare(i, j)
+        elif same and i == j:
+            visit(level + 1, below[0], below[0])
+        else:
+            visit(level + 1, below[0], below[1])
+
+    def meet(level: int, ni: np.ndarray, nj: np.ndarray, mine: bool) -> None:
+        if not len(ni) or not len(nj):
+            return
+        ri, rj = a.radius[level][ni], b.radius[level][nj]
         cj = b.points[b.runs[level][nj, 0]]
         for lo in range(0, len(ni), 512):
-            far = _distance(ci[lo:lo + 512] @ cj.T)
-            ri, rj = a.radius[level][ni[lo:lo + 512]][:, None], b.radius[level][nj][None, :]
-            near = far <= ri + rj + reach + SLACK
+            cos = a.points[a.runs[level][ni[lo:lo + 512], 0]] @ cj.T
+            # first one bound for all of these pairs, then each pair's own
+            widest = min(2.0, ri[lo:lo + 512].max() + rj.max() + reach + SLACK)
+            x, y = np.nonzero(cos >= 1 - widest * widest / 2 - SLACK)
+            far = _distance(cos[x, y])
+            near = far <= ri[lo + x] + rj[y] + reach + SLACK
             if mine:
-                near &= np.arange(len(nj))[None, :] >= np.arange(lo, lo + near.shape[0])[:, None]
-            for x, y in np.argwhere(near):
-                i, j = tuple(a.runs[level][ni[lo + x]].tolist()), tuple(b.runs[level][nj[y]].tolist())
-                pairs = (i[1] - i[0]) * (j[1] - j[0])
-                if same and i == j and pairs == 1:
-                    continue
-                if far[x, y] + ri[x, 0] + rj[0, y] <= reach - SLACK:
-                    whole(i, j)
-                    continue
-                if pairs <= DIRECT or level + 1 == len(RADII):
-                    compare(i, j)
-                    continue
-                below = [np.flatnonzero((t.runs[level + 1][:, 0] >= r[0]) & (t.runs[level + 1][:, 1] <= r[1])) for t, r in ((a, i), (b, j))]
-                if len(below[0]) * len(below[1]) * 16 > pairs:
-                    compare(i, j)
-                elif same and i == j:
-                    visit(level + 1, below[0], below[0])
-                else:
-                    visit(level + 1, below[0], below[1])
+                near &= y >= lo + x
+            for p, q, d in zip(x[near], y[near], far[near], strict=True):
+                settle(level, ni[lo + p], nj[q], float(d))
+
+    def visit(level: int, ni: np.ndarray, nj: np.ndarray) -> None:
+        """All pairs of these nodes of one level; when they are the same nodes of one tree, each pair once. Nodes of one
+        place, which are most where points lie scattered, meet apart from wide ones, whose radii would loosen their bound."""
+        mine = same and ni is nj
+        wide_i, wide_j = a.radius[level][ni] > 2 * SLACK, b.radius[level][nj] > 2 * SLACK
+        meet(level, ni[~wide_i], nj[~wide_j], mine)
+        meet(level, ni[wide_i], nj[wide_j], mine)
+        meet(level, ni[~wide_i], nj[wide_j], False)
+        if not mine:
+            meet(level, ni[wide_i], nj[~wide_j], False)
 
     if len(a.points) and len(b.points):
         top = np.arange(len(a.runs[0]))
