@@ -83,7 +83,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                    .mapInArrow(write, "part int, n_docs long, n_tokens long"), "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    done = stored(based.repartition(F.col("part")).mapInArrow(place, "part int, n_docs long, n_tokens long, base long"), "token-bases")
+    done = stored(based.repartition(max(1, parts.count()), "part").mapInArrow(place, "part int, n_docs long, n_tokens long, base long"), "token-bases")
     with fs.open_output_stream(f"{root}/format.json") as out:
         out.write(json.dumps({"width": width, "end_id": end_id}).encode())
     return done
@@ -117,4 +117,5 @@ def read_token_files(spark: SparkSession, parts: DataFrame, folder: str) -> Data
                     keys = np.asarray(docs[lo:hi])
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64(), mask=keys == np.iinfo(np.int64).min), "start": pa.array(starts[:-1], pa.int64()), "n_tokens": pa.array(np.diff(starts), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return parts.select("part").repartition(F.col("part")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # the rows are few and their files are not: as many tasks as files
+    return parts.select("part").repartition(max(1, parts.count()), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
