@@ -82,8 +82,8 @@ SELECT seq, page_id, "offset", length, sha256(head || h || tail) AS primary_sha2
 def fixity(spark: SparkSession, folder: str) -> DataFrame:
     first, second = fresh_folder(spark, "warc"), fresh_folder(spark, "warc-replica")
     manifest = warc.write_warc(table(spark, folder, "pages"), first)
-    warc.damaged_copy(manifest, first, second, _damaged)
-    return warc.audit(manifest, first, second)
+    places = warc.damaged_copy(manifest, first, second, _damaged)
+    return warc.audit(manifest, first, second, replica_places=places)
 
 
 @query("op6_exact_dedup", f"""

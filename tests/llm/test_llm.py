@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import shutil
 import zlib
 from collections import Counter, defaultdict
 from math import log2, log10
@@ -232,14 +233,23 @@ def test_audit_finds_exactly_what_was_damaged(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" + "ab" * i) for i in range(300)] + [(None, None, None), (5, "twice", "<p>"), (400, None, "")], "page_id long, url string, html string")
     first, second, third = (fresh_folder(spark, "test-warc") for _ in range(3))
     manifest = warc.write_warc(pages.repartition(3), first)
-    warc.damaged_copy(manifest, first, second, lambda p: p in (5, 250, 400))
-    found = warc.audit(manifest, first, second, fanout=4).collect()
+    places = warc.damaged_copy(manifest, first, second, lambda p: p in (5, 250, 400))
+    found = warc.audit(manifest, first, second, fanout=4, replica_places=places).collect()
     assert sorted((r.page_id, r.seq) for r in found) == [(5, 6), (5, 7), (250, 252)]
     assert all(r.primary_sha256 != r.replica_sha256 for r in found)
     one = next(r for r in found if r.page_id == 250)
     assert one.primary_sha256 == hashlib.sha256(warc.warc_record(250, b"http://x/250", b"<p>" + b"ab" * 250)).hexdigest()
     assert warc.audit(manifest, first, first).count() == 0
     assert warc.audit(manifest, first, third).count() == 303  # a replica without files
+    warc.damaged_copy(manifest, first, third, lambda p: False)
+    hit = manifest.filter("page_id = 250").first()
+    with open(f"{third.removeprefix('file:')}/part-{hit.part:05d}.warc.gz", "r+b") as f:  # a byte inside a packed record
+        f.seek(hit.at + hit.stored // 2)
+        was = f.read(1)
+        f.seek(-1, 1)
+        f.write(bytes([was[0] ^ 255]))
+    assert [r.seq for r in warc.audit(manifest, first, third).collect()] == [hit.seq]
+    shutil.rmtree(third.removeprefix("file:"))
     empty = warc.write_warc(pages.limit(0), third)
     assert warc.audit(empty, third, third).count() == 0
 
