@@ -1,7 +1,7 @@
 """Printed numbers as exact columns.
 
-A printed number is matched once; its pieces are read from one delimited string, so a value costs one regular
-expression however many fields are asked for. The number itself is kept three ways: the digits as printed
+A printed value is cut into its figure, its currency mark and the shape of what stands around them; the shape is looked
+up in a table. The number itself is kept three ways: the digits as printed
 (``value_str``, whose decimal places are data), a DECIMAL(38,10) to compute with, and the printed scale.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figtrail.functions.text import once, stripped
+from figtrail.functions.text import literal_map, once, stripped
 
 # Dash and word forms that mean "nil", and the currency marks a number may carry.
 NIL_FORMS = ["-", "–", "—", "‐", "nil", "Nil", "NIL"]
@@ -18,73 +18,70 @@ CURRENCY_MARK = r"₹|Rs\.?|INR|US\$|USD|\$|€|EUR|£|GBP"
 CURRENCY_CODE = {"₹": "INR", "rs": "INR", "rs.": "INR", "inr": "INR", "us$": "USD", "usd": "USD", "$": "USD",
                  "€": "EUR", "eur": "EUR", "£": "GBP", "gbp": "GBP"}
 
-PRINTED = (rf"^({CURRENCY_MARK})?\s?(\()?({CURRENCY_MARK})?\s?([-−–])?([0-9][0-9,]*(?:\.[0-9]+)?)"
-           r"(\s?%)?(\))?(\s?(?:%|bps|x|X))?$")
-LAKH_STYLE = r"^[0-9]{1,2}(,[0-9]{2})*,[0-9]{3}(\.[0-9]+)?$"
-THOUSAND_STYLE = r"^[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
+UNITS = {"%": "percent", "bps": "bps", "x": "multiple", "X": "multiple"}
+
+# What may stand around a figure. A value is put into this shape (# its figure, ¤ its currency mark, - a minus of any width,
+# no blanks where they may be) and looked up: brackets or a minus make it negative, a currency and a unit exclude each other.
+SHAPES = {shape: "number" for shape in ("#", "-#", "¤#", "¤-#", "(#)", "¤(#)", "(¤#)")}
+SHAPES |= {shape + unit: kind for unit, kind in UNITS.items() for shape in ("#", "-#", "(#)")} | {"(#%)": "percent"}
+FIGURE = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 
 NUMBER_FIELDS = ("kind", "value", "value_str", "scale", "grouping", "currency_symbol", "negative")
-_SEP = "\u0001"
+
+def _mark(text: Column) -> Column:
+    return F.regexp_extract(text, CURRENCY_MARK, 0)
 
 
-def _pieces(text: Column) -> Column:
-    """mark | opening | inner mark | sign | digits | inner % | closing | suffix"""
-    return F.split(F.regexp_replace(text, PRINTED, _SEP.join(f"${i}" for i in range(1, 9))), _SEP)
+def _figure(text: Column) -> Column:
+    return F.regexp_extract(text, FIGURE, 0)
 
 
-def _reading(piece: Column) -> dict[str, Column]:
-    mark, opening, inner_mark, sign, digits, inner_pct, closing, suffix = (F.get(piece, i) for i in range(8))
-    unit = F.trim(suffix)
-    by_lakh, by_thousand = digits.rlike(LAKH_STYLE), digits.rlike(THOUSAND_STYLE)
-    grouping = (F.when(~F.contains(digits, F.lit(",")), "none")
-                .when(by_lakh & by_thousand, "both").when(by_lakh, "indian").when(by_thousand, "international"))
-    kind = (F.when((inner_pct != "") | (unit == "%"), "percent").when(unit == "bps", "bps")
-            .when(unit.isin("x", "X"), "multiple").otherwise("number"))
-    plain = F.regexp_replace(F.replace(digits, F.lit(","), F.lit("")), "^0+([0-9])", "$1")
-    return {"grouping": grouping, "kind": kind, "plain": plain,
-            "signed": F.concat(F.when((opening != "") | (sign != ""), "-").otherwise(""), plain)}
+def _shape(text: Column, mark: Column, figure: Column) -> Column:
+    around = F.replace(F.replace(text, figure, F.lit("#")), mark, F.lit("¤"))
+    shape = F.regexp_replace(F.translate(around, "−–", "--"), r"(?<=[¤(])\s{1,2}|\s(?=[%bxX])", "")
+    return F.when((figure != "") & (F.contains(shape, F.lit("¤")) == (mark != "")), shape)
 
 
-def _valid(piece: Column, kind: Column, grouping: Column) -> Column:
-    mark, opening, inner_mark, sign, _, inner_pct, closing, suffix = (F.get(piece, i) for i in range(8))
-    return F.coalesce((F.size(piece) == 8) & ((opening != "") == (closing != "")) & ((mark == "") | (inner_mark == ""))
-                      & ((opening == "") | (sign == "")) & grouping.isNotNull() & ((inner_pct == "") | (suffix == ""))
-                      & ((kind == "number") | ((mark == "") & (inner_mark == ""))), F.lit(False))
+def _grouping(figure: Column) -> Column:
+    """A way of grouping holds when setting its separators anew gives what was printed."""
+    whole = F.substring_index(figure, ".", 1)
+    bare = F.replace(whole, F.lit(","), F.lit(""))
+    by_thousand = F.regexp_replace(bare, r"\B(?=([0-9]{3})+$)", ",") == whole
+    by_lakh = F.regexp_replace(bare, r"\B(?=([0-9]{2})*[0-9]{3}$)", ",") == whole
+    return (F.when(~F.contains(whole, F.lit(",")), "none")
+            .when(by_lakh & by_thousand, "both").when(by_lakh, "indian").when(by_thousand, "international"))
 
 
 def with_number(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
-    """All fields as columns; null when the text is not a number. The match and the verdict are steps of their
-    own, so each is evaluated once per row and the generated code stays small."""
-    text, piece = F.col("_nb_text"), F.col("_nb_piece")
+    """All fields as columns; null when the text is not a number. Mark and figure, then shape and grouping, are steps of
+    their own, so each is worked out once per row and the generated code stays small."""
+    text, mark, figure, shape = (F.col(f"_nb_{x}") for x in ("text", "mark", "figure", "shape"))
     trimmed = stripped(F.col(col))
-    staged = once(df, {"_nb_text": trimmed, "_nb_piece": _pieces(trimmed)})
-    staged = once(staged, {"_nb_" + k: v for k, v in _reading(piece).items()})
-    staged = once(staged, {"_nb_ok": _valid(piece, F.col("_nb_kind"), F.col("_nb_grouping"))})
-    ok, is_nil, signed = F.col("_nb_ok"), text.isin(NIL_FORMS), F.col("_nb_signed")
-    marks = F.concat(F.get(piece, 0), F.get(piece, 2))
+    staged = once(df, {"_nb_text": trimmed, "_nb_mark": _mark(trimmed), "_nb_figure": _figure(trimmed)})
+    staged = once(staged, {"_nb_shape": _shape(text, mark, figure), "_nb_grouping": _grouping(figure)})
+    plain = F.regexp_replace(F.replace(figure, F.lit(","), F.lit("")), "^0+([0-9])", "$1")
+    minus = shape.rlike("[-(]")
+    staged = once(staged, {"_nb_kind": F.when(F.col("_nb_grouping").isNotNull(), F.element_at(literal_map(SHAPES), shape)), "_nb_plain": plain, "_nb_minus": minus})
+    ok, is_nil, minus = F.col("_nb_kind").isNotNull(), text.isin(NIL_FORMS), F.col("_nb_minus")
+    signed = F.concat(F.when(minus, "-").otherwise(""), F.col("_nb_plain"))
     fields = {
-        "kind": F.when(is_nil, "nil").when(ok, F.col("_nb_kind")),
+        "kind": F.when(is_nil, "nil").otherwise(F.col("_nb_kind")),
         "value": F.when(ok, signed).try_cast("decimal(38,10)"),
         "value_str": F.when(ok, signed),
         "scale": F.when(ok, F.coalesce(F.length(F.get(F.split("_nb_plain", r"\."), 1)), F.lit(0))),
         "grouping": F.when(is_nil, "none").when(ok, F.col("_nb_grouping")),
-        "currency_symbol": F.when(ok & (marks != ""), marks),
-        "negative": F.when(is_nil, False).when(ok, F.startswith(signed, F.lit("-"))),
+        "currency_symbol": F.when(ok & (mark != ""), mark),
+        "negative": F.when(is_nil, False).when(ok, minus),
     }
     return staged.withColumns({prefix + k: v for k, v in fields.items()}).drop(
-        "_nb_text", "_nb_piece", "_nb_ok", *["_nb_" + k for k in ("grouping", "kind", "plain", "signed")])
-
-
-# The same forms as one yes/no pattern: a test needs no pieces.
-_DIGITS = r"(?:[0-9]+|[0-9]{1,2}(?:,[0-9]{2})*,[0-9]{3}|[0-9]{1,3}(?:,[0-9]{3})+)(?:\.[0-9]+)?"
-_UNIT_END = r"\s?(?:%|bps|x|X)"
-NUMBER_BODY = (rf"(?:[-–—‐]|nil|Nil|NIL|(?:(?:{CURRENCY_MARK})\s{{0,2}})?[-−–]?{_DIGITS}|[-−–]?{_DIGITS}{_UNIT_END}"
-               rf"|(?:(?:{CURRENCY_MARK})\s?)?\(\s?{_DIGITS}\)|\((?:{CURRENCY_MARK})\s?{_DIGITS}\)"
-               rf"|\(\s?{_DIGITS}\s?%\)|\(\s?{_DIGITS}\){_UNIT_END})")
+        *["_nb_" + k for k in ("text", "mark", "figure", "shape", "grouping", "kind", "plain", "minus")])
 
 
 def is_number(raw: Column) -> Column:
-    return stripped(raw).rlike(f"^{NUMBER_BODY}$")
+    """The yes or no of `with_number` alone."""
+    t = stripped(raw)
+    figure = _figure(t)
+    return t.isin(NIL_FORMS) | F.coalesce(_shape(t, _mark(t), figure).isin(list(SHAPES)) & _grouping(figure).isNotNull(), F.lit(False))
 
 
 def with_signature(df: DataFrame, col: str, out: str = "signature") -> DataFrame:
@@ -107,7 +104,7 @@ NUMERIC_CELL = r"^[(\-−–]?[₹$€£]?[0-9][0-9,.\-–]*\)?\s?%?[*#^]?$"
 def looks_like_cell_value(text: Column) -> Column:
     """Structural test for a table value; footnote marks and misread separators still count."""
     t = stripped(text)
-    return t.rlike(rf"^{NUMBER_BODY}[*#^]*$") | (t.rlike(NUMERIC_CELL) & t.rlike("[0-9][^0-9]*[0-9]"))
+    return is_number(F.regexp_replace(t, "[*#^]+$", "")) | (t.rlike(NUMERIC_CELL) & t.rlike("[0-9][^0-9]*[0-9]"))
 
 
 def garbled_number(raw: Column) -> Column:
