@@ -11,6 +11,7 @@ from figtrail.functions.numbers import NIL_FORMS, YEAR_SPAN, printed_decimals, w
 from figtrail.functions.ordered import running_sum
 from figtrail.functions.text import core_of, has_digit, letter_words, letters_only, stripped
 
+# The kinds and roles a figure may have.
 REREAD_KINDS = ["number", "percent", "bps", "multiple", "nil", "date"]
 FIGURE_KINDS = ["number", "percent", "bps", "multiple", "nil", "date", "period", "identifier"]
 ROLES = ["text", "heading", "cell", "header", "caption", "row_label", "chart_label", "chart_axis"]
@@ -142,6 +143,7 @@ def confirmed_by_reread(figures: DataFrame, readings: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ C4: totals
 
+# The label of a total.
 TOTAL_LABEL = r"(?i)\btotal\b"
 TABLE = ["report_id", "table_id"]
 
@@ -207,6 +209,7 @@ def cells_in_totals(cells: DataFrame, columns: DataFrame | None = None) -> DataF
 
 # ------------------------------------------------------------------ C5, C6: balance and stated changes
 
+# The labels of the two sides of a balance sheet.
 ASSETS = r"(?i)^total assets$"
 EQUITY_AND_LIABILITIES = r"(?i)^total (equity and liabilities|liabilities and (shareholders'? )?equity|equity & liabilities)$"
 
@@ -220,6 +223,7 @@ def check_balance(cells: DataFrame, columns: DataFrame | None = None) -> DataFra
         *TABLE, "col_no", F.lit("arithmetic").alias("check_name"), F.lit("blocking").alias("severity"), F.col("a.raw").alias("expected"), F.col("l.raw").alias("actual"))
 
 
+# The form of a period key.
 KEY_FORM = r"^(quarter|half|nine_months|year)([0-9]?):FY([0-9]{4})$"
 
 

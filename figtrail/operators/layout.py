@@ -99,6 +99,7 @@ def _hint_units() -> Column:
 # ------------------------------------------------------------------ W4, W5: furniture
 
 BAND_SHARE, SAME_LINE_RATIO = 0.075, 0.88
+# A line that is a page number.
 PAGE_NUMBER_LINE = r"(?i)^(page\s*)?[0-9]{1,4}(\s*(of|/)\s*[0-9]{1,4})?$"
 
 
@@ -223,6 +224,7 @@ def axis_tick_words(words: DataFrame, regions: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ W7, W8: scan junk, all noise
 
 REPEATED = "|".join(str(d) + "{3,}" for d in range(10))
+# Parts of the names of icon fonts.
 ICON_FONT = r"(?i)wingding|webding|dingbat|zapfding|fontawesome|font-awesome|icomoon|materialicons|material-icons|glyphicon|icofont|ionicons"
 MARK = r"₹|Rs\.?|INR|US\$|USD|\$|€|EUR|£|GBP"
 

@@ -179,7 +179,7 @@ def m3(t):
     tokens = _tokens(t)
     nouns = cut(m.proper_nouns(tokens))
     names = m.possessive_names(t("fx_texts"), nouns).select("report_id", "name")
-    for _ in range(2):
+    for _ in range(3):  # a name has at most four words
         names = cut(m.name_extension(tokens, names, nouns))
     return names
 

@@ -76,3 +76,16 @@ def test_a_table_of_part_files_streams_like_one_file(spark, tmp_path):
     stream = streams.read_table_stream(spark, str(tmp_path), "events")
     streams.drain(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+
+
+def test_phrases_of_more_than_eight_words_are_compared_whole(spark):
+    long = "the northern light and power and water company of upper mehra"
+    pages = spark.createDataFrame([("r", 1, f"By {long} today"), ("r", 2, f"At {long.replace('upper', 'lower')}"), ("r", 3, long)], "report_id string, page int, text string")
+    uses = metadata.phrase_pages(metadata.page_tokens(pages), spark.createDataFrame([("r", long), ("r", "the northern light and power and water company")], "report_id string, phrase string"))
+    assert {r.phrase: r.pages for r in uses.collect()} == {long: 2, "the northern light and power and water company": 3}
+
+
+def test_spans_that_end_on_a_day(spark):
+    text = "For the quarter and nine months ended\nDecember 31, 2025, and the year ended on 31.03.2025. Half-year ended 30th September 2025; it ended well."
+    found = metadata._ended(spark.createDataFrame([("r", 1, text)], "report_id string, page int, text string")).collect()
+    assert sorted((r.what, r.d_iso) for r in found) == [("half", "2025-09-30"), ("quarter", "2025-12-31"), ("year", "2025-03-31")]
