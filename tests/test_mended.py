@@ -89,3 +89,23 @@ def test_spans_that_end_on_a_day(spark):
     text = "For the quarter and nine months ended\nDecember 31, 2025, and the year ended on 31.03.2025. Half-year ended 30th September 2025; it ended well."
     found = metadata._ended(spark.createDataFrame([("r", 1, text)], "report_id string, page int, text string")).collect()
     assert sorted((r.what, r.d_iso) for r in found) == [("half", "2025-09-30"), ("quarter", "2025-12-31"), ("year", "2025-03-31")]
+
+
+@pytest.mark.parametrize(("text", "year", "period", "evidence"), [
+    ("Outcome Q3 FY27", 2027, "q3", 1), ("Q4-FY2031-32 update", 2032, "q4", 1), ("9M 2019", 2019, "9m", 1), ("H2 FY 28", 2028, "h2", 1),
+    ("Annual Report 2017-18", 2018, "fy", 4), ("Annual accounts for FY 2016", 2016, "fy", 4), ("Report & Accounts 2019/20", 2020, "fy", 4),
+    ("for the year ended June 30, 2018", 2019, "fy", 3), ("Fiscal year ended 2014", 2014, "fy", 5), ("7th May 2015", 2016, "q1", 8),
+    ("FY’29 aims", 2029, None, 9), ("plan 2021", 2021, None, 10), ("31st February 2025", 2025, None, 10), ("Q3 24", None, None, None),
+    ("2021%", None, None, None), ("", None, None, None), (None, None, None, None)])
+def test_periods_are_read_word_by_word(spark, text, year, period, evidence):
+    pages = spark.createDataFrame([("r", 1, True, text)], "report_id string, page int, is_cover boolean, text string")
+    got = metadata.vote_period(pages, pages.select("report_id", F.lit(4).alias("start_month"))).select("fiscal_year", "period", "evidence").collect()
+    assert [tuple(r) for r in got] == ([] if evidence is None else [(year, period, evidence)])
+
+
+def test_units_beside_their_currency(spark):
+    texts = {"₹ in crore": "crore", "(₹8,400 crore)": "crore", "US$2.7 million": "million", "$ 6bn": "billion", "Rs.45 lakhs": "lakh", "€ in '000": "thousand",
+             "₹ 45   crore": "crore", "16 crore shares": None, "₹ 9 per share": None, "": None}
+    pages = spark.createDataFrame([(str(i), 1, t) for i, t in enumerate(texts)], "report_id string, page int, text string")
+    got = {r.report_id: r.unit for r in metadata.vote_unit(pages, metadata.vote_currency(pages)).collect()}
+    assert {t: got.get(str(i)) for i, t in enumerate(texts)} == {**texts, "₹ 45   crore": None}
