@@ -26,13 +26,17 @@ def distinct_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out in the order that interleaves the sources at their target weights."""
+    """All documents, laid out in the order that interleaves the sources at their target weights. Files are no order to
+    build on: packing derives the positions again from the same documents."""
     return mixing.in_mixed_order(docs, mixing.mix_sources(docs))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per token piece with its sequence and place."""
-    return packing.pack(packing.token_pieces(docs, TOKENIZER, end_id=0, capacity=SEQUENCE), SEQUENCE)
+    """One row per token piece with its sequence and place. Sequences are filled and numbered in mixed order, so each
+    range of sequence_id holds the sources at their target weights for as long as they last."""
+    pieces = stored(packing.token_pieces(docs, TOKENIZER, end_id=0, capacity=SEQUENCE, source_col="source"), "corpus-pieces")
+    mixed = mixing.mix_sources(pieces.where("piece = 0"), keep=("row_key",))
+    return packing.pack_in_order(pieces.drop("source").join(mixed.select("row_key", "position"), "row_key"), SEQUENCE)
 
 
 STAGES = [

@@ -41,9 +41,9 @@ def tempered_weights(counts: dict, power: float = 0.5, period: int = 1000) -> di
     return {s: max(1, round(period * c ** power / total)) for s, c in counts.items()}
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int = 1, id_col: str = "doc_id", source_col: str = "source", power: float = 0.5) -> DataFrame:
-    """One row per document: doc_id, source, block (of its source, from 0), period, slot, deadline, position (from 0,
-    without gaps). Ordered by position, the sources interleave at their target weights.
+def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int = 1, id_col: str = "doc_id", source_col: str = "source", power: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, the columns of `keep`, block (of its source, from 0), period, slot, deadline,
+    position (from 0, without gaps). Ordered by position, the sources interleave at their target weights.
 
     Blocks are `block_rows` documents of a source in ascending id. The schedule of one period is laid out once (its
     length is the sum of the weights, whatever the data) and repeats; within it each source is less than one block away
@@ -53,7 +53,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int =
     Null sources are a source of their own, null ids come first in it, repeated rows take one place each. An empty table
     gives an empty result. The driver holds one row per source, at most MAX_SOURCES. Rows are numbered by range
     partitions, so a source of any size is spread over many tasks."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), *keep)
     spark = docs.sparkSession
     counted = rows.groupBy("source").count().limit(MAX_SOURCES + 1).collect()
     if len(counted) > MAX_SOURCES:
@@ -73,7 +73,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_rows: int =
     timed = timed.withColumn("block", F.floor(F.col("_no") / block_rows).cast("long"))
     timed = timed.withColumn("period", F.floor(F.col("block") / F.col("_w")).cast("long")).withColumn("_j", F.pmod("block", "_w"))
     timed = timed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_p")) & (F.col("_j") == F.col("_k")))
-    timed = timed.select("doc_id", "source", "block", "period", "slot", "deadline", "_no")
+    timed = timed.select("doc_id", "source", *keep, "block", "period", "slot", "deadline", "_no")
     placed = numbered(timed, [F.col("period"), F.col("slot"), F.col("_no")], "mix-places")
     return placed.withColumnRenamed("row_no", "position").drop("_no")
 

@@ -384,6 +384,23 @@ def test_stages_one_by_one(spark, small):
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_prefixes_of_sequences_hold_the_target_weights(spark, odd, none):
+    rng = np.random.default_rng(3)
+    source = ["big"] * 2400 + ["a"] * 400 + ["b"] * 400 + [None] * 400
+    rows = [(None if i == 7 else i, "word " * int(n), s) for i, (s, n) in enumerate(zip(source, rng.integers(200, 1800, len(source)), strict=True))]
+    packed = corpus_pipeline.packed_sequences(spark, docs_of(spark, rows), SMALL).collect()
+    assert len(packed) == len(rows) and len({(r.sequence_id, r.offset) for r in packed}) == len(rows)
+    ids = sorted({r.sequence_id for r in packed})
+    assert ids == list(range(len(ids)))
+    weights = mixing.tempered_weights(Counter(source))
+    for k in (len(ids) // 4, len(ids) // 3, len(ids) // 2):  # sources but the big one run out behind that
+        held = Counter(source[7 if r.doc_id is None else r.doc_id] for r in packed if r.sequence_id < k)
+        assert all(abs(held[s] / held.total() - w / sum(weights.values())) < 0.05 for s, w in weights.items())
+    assert corpus_pipeline.packed_sequences(spark, none, SMALL).count() == 0
+    got = corpus_pipeline.packed_sequences(spark, odd, SMALL).collect()
+    assert sum(r.piece == 0 for r in got) == 10
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_oracle(spark, name):
     from check import compare, connect
