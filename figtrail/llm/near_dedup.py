@@ -1,4 +1,4 @@
-"""Near-duplicate texts: ProbMinHash signatures of weighted word shingles, banding, exact verification."""
+"""Near-duplicate texts: ProbMinHash signatures of the sets of word shingles, banding, exact verification."""
 
 from __future__ import annotations
 
@@ -60,19 +60,16 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n
     return kept.reshape(n, m)
 
 
-def weight_of(counts: np.ndarray) -> np.ndarray:
-    """A shingle's weight: 1 + ln of how often the text has it, so a line repeated a hundred times does not drown the rest."""
-    return 1 + np.log(counts)
-
-
 def band_keys(texts: list[bytes], bands: int, rows: int, words: int = WORDS) -> np.ndarray:
-    """(texts, bands) 64-bit keys; texts without words get none of their own and are all 0."""
+    """(texts, bands) 64-bit keys; texts without words get none of their own and are all 0. Each distinct shingle weighs 1:
+    slots then agree with the probability of the set Jaccard similarity that links are verified by, however often a text
+    repeats a line."""
     owners, elements, weights = [], [], []
     for i, t in enumerate(texts):
-        e, c = np.unique(shingles(t, words), return_counts=True)
+        e = np.unique(shingles(t, words))
         owners.append(np.full(len(e), i))
         elements.append(e)
-        weights.append(weight_of(c))
+        weights.append(np.ones(len(e)))
     m = bands * rows
     got = prob_minhash(np.concatenate(elements), np.concatenate(weights), np.concatenate(owners), len(texts), m) if texts else np.zeros((0, m), np.uint64)
     keys = np.zeros((len(texts), bands), np.uint64)

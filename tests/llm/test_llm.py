@@ -59,6 +59,17 @@ def test_signatures_estimate_probability_jaccard():
     assert abs((got[0] == got[1]).mean() - want) < 0.03
 
 
+def test_repeated_lines_lose_no_band():
+    lost = 0
+    for k in range(200):
+        body, line = [f"b{k}x{i}" for i in range(80)], [f"l{k}x{i}" for i in range(20)]
+        often, once = (" ".join(body + line * n + line[:4]).encode() for n in (100, 1))
+        assert near_dedup.jaccard(np.unique(near_dedup.shingles(often)), np.unique(near_dedup.shingles(once))) > 0.95
+        keys = near_dedup.band_keys([often, once], near_dedup.BANDS, near_dedup.ROWS)
+        lost += not (keys[0] == keys[1]).any()
+    assert lost == 0
+
+
 def _brute(rows):
     """Classes by all pairs of shingle sets."""
     sets = [set(near_dedup.shingles((t or "").encode()).tolist()) for _, t in rows]
