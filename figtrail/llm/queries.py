@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from figtrail.llm import class_lm, embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, secrets, token_files, warc
+from figtrail.llm import class_lm, embedding_dedup, exact_dedup, filter_audit, mixing, near_dedup, packing, quality, repetition, secrets, token_files, warc
 from figtrail.llm.common import fresh_folder, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -163,3 +163,52 @@ SELECT node AS vec_id, coalesce(n, 0) AS n_links, component_id, node = component
 """)
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.embedding_duplicates(table(spark, folder, "embeddings"))
+
+
+_REPEATS = ", ".join(f"coalesce(sum(CASE WHEN n = {n} THEN chars END), 0)::BIGINT AS dup_chars_{n}" for n in repetition.MOST_IN_WINDOWS)
+_WITHIN = " AND ".join(f"100 * coalesce(dup_chars_{n}, 0) <= {most} * word_chars" for n, most in repetition.MOST_IN_WINDOWS.items())
+
+
+# windows as joined strings, the words they cover as rows
+@query("op11_repetition", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+size AS (SELECT r, len(ws) AS n_words, coalesce(length(array_to_string(ws, '')), 0) AS word_chars FROM w),
+word AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+five AS (SELECT r, i, row_number() OVER (PARTITION BY r, g ORDER BY i) AS nth, count(*) OVER (PARTITION BY r, g) AS times FROM (SELECT r, i, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g, count(*) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS c FROM word) WHERE c = 5),
+longer AS (SELECT r, n, i, array_to_string(ws[i + 1:i + n], ' ') AS g FROM five JOIN w USING (r), (SELECT unnest([6, 7, 8, 9, 10]) AS n) WHERE times > 1 AND i + n <= len(ws)),
+found AS (SELECT r, 5 AS n, i, nth, times FROM five WHERE times > 1 UNION ALL SELECT r, n, i, row_number() OVER (PARTITION BY r, n, g ORDER BY i), count(*) OVER (PARTITION BY r, n, g) FROM longer),
+twice AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM found, (SELECT unnest(range(5)) AS k) WHERE n = 5 AND times > 1 GROUP BY r),
+inside AS (SELECT DISTINCT r, n, i + k AS i FROM found, (SELECT unnest(range(10)) AS k) WHERE nth > 1 AND k < n),
+covered AS (SELECT r, {_REPEATS} FROM (SELECT r, n, length(word) AS chars FROM inside JOIN word USING (r, i)) GROUP BY r),
+line AS (SELECT r, unnest(string_split(t, chr(10))) AS l, unnest(range(len(string_split(t, chr(10))))) AS i FROM d),
+again AS (SELECT r, count(*) AS n_dup_lines, sum(length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')))::BIGINT AS dup_line_chars FROM (SELECT *, row_number() OVER (PARTITION BY r, l ORDER BY i) AS nth FROM line WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')) WHERE nth > 1 GROUP BY r),
+every AS (SELECT doc_id, n_words, word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars,
+  {', '.join(f'coalesce(dup_chars_{n}, 0) AS dup_chars_{n}' for n in repetition.MOST_IN_WINDOWS)} FROM d JOIN size USING (r) LEFT JOIN again USING (r) LEFT JOIN twice USING (r) LEFT JOIN covered USING (r)),
+base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM every)
+SELECT *, NOT base_failed AND 10 * n_symbols <= n_words AND 100 * dup_line_chars <= {repetition.MOST_IN_LINES} * word_chars AND {_WITHIN} AS kept FROM base
+""")
+def repeated(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition.repetition_quality(table(spark, folder, "documents"))
+
+
+# masks of the five conditions, then every order step by step
+@query("op13_filter_audit", """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS lo FROM d),
+m AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > lo, false)::INT AS mask,
+  doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM w),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step, instr('ABCDE', filter_order[step]) - 1 AS bit, list_sum(list_transform(string_split(filter_order[1:step - 1], ''), lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (instr('ABCDE', x) - 1) END))::BIGINT AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+measured AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (coalesce(before, 0) | (1 << bit)) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & coalesce(before, 0) = 0 AND mask & (1 << bit) <> 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & coalesce(before, 0) <> 0 AND mask & (1 << bit) <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = 1 << bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & coalesce(before, 0) = 0 AND mask & (1 << bit) <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & coalesce(before, 0) = 0 AND mask & (1 << bit) <> 0), 0)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM measured
+""")
+def audited(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
