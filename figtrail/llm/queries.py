@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from figtrail.llm import class_lm, embedding_dedup, exact_dedup, filter_audit, mixing, near_dedup, packing, quality, repetition, secrets, token_files, warc
+from figtrail.llm import class_lm, conversation_trie, embedding_dedup, exact_dedup, filter_audit, mixing, near_dedup, packing, quality, repetition, secrets, token_files, warc
 from figtrail.llm.common import fresh_folder, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -192,6 +192,27 @@ def repeated(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition_quality(table(spark, folder, "documents"))
 
 
+# crc32 bit by bit; nodes as prefixes of role and text, subtrees as pairs of prefixes on one conversation's path
+@query("op12_conversation_trie", """
+WITH ids AS (SELECT conv_id AS c, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+bits AS (SELECT c, n, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1])) AS bs FROM ids),
+sized AS (SELECT c, n, c - c % 5 AS b, xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda s, x: xor(xor(s, CASE WHEN x >= 0 THEN x ELSE 0 END) >> 1, 3988292384 * (xor(s, CASE WHEN x >= 0 THEN x ELSE 0 END) & 1))), 4294967295::BIGINT) % 9 AS h FROM bits),
+t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+made AS (SELECT s.c, 0 AS half, pos, role, text FROM sized s JOIN t ON t.c = s.b WHERE pos < h UNION ALL SELECT s.c, 1, pos, role, text FROM sized s JOIN t ON t.c = s.c WHERE pos >= h),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY half, pos) AS d, role, text FROM made),
+rows_ AS (SELECT c, d, text, sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM turns UNION ALL SELECT c, 0, '', '' FROM ids),
+linked AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, lead(k) OVER (PARTITION BY c ORDER BY d) IS NULL AS last FROM rows_),
+nodes AS (SELECT k, any_value(up) AS up, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, (count(*) - 1) * strlen(any_value(text)) AS own, bool_and(last) AS leaf, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last) AS ends FROM linked GROUP BY k),
+below AS (SELECT DISTINCT a.k AS top, b.k AS k FROM rows_ a JOIN rows_ b ON a.c = b.c AND a.d <= b.d),
+sums AS (SELECT top AS k, count(*) FILTER (leaf) AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM below JOIN nodes USING (k) GROUP BY top),
+kids AS (SELECT up AS k, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN sums USING (k) LEFT JOIN kids USING (k) LEFT JOIN nodes p ON p.k = n.up
+""")
+def trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, folder, "conversations"), rebuilt=True)
+
+
 # masks of the five conditions, then every order step by step
 @query("op13_filter_audit", """
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
