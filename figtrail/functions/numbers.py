@@ -43,13 +43,13 @@ def _shape(text: Column, mark: Column, figure: Column) -> Column:
 
 
 def _grouping(figure: Column) -> Column:
-    """A way of grouping holds when setting its separators anew gives what was printed."""
+    """Told by the lengths of the pieces between separators, looked at only where there is a separator."""
     whole = F.substring_index(figure, ".", 1)
-    bare = F.replace(whole, F.lit(","), F.lit(""))
-    by_thousand = F.regexp_replace(bare, r"\B(?=([0-9]{3})+$)", ",") == whole
-    by_lakh = F.regexp_replace(bare, r"\B(?=([0-9]{2})*[0-9]{3}$)", ",") == whole
-    return (F.when(~F.contains(whole, F.lit(",")), "none")
-            .when(by_lakh & by_thousand, "both").when(by_lakh, "indian").when(by_thousand, "international"))
+    pieces = F.transform(F.split(whole, ","), F.length)
+    first, rest = F.get(pieces, 0), F.slice(pieces, F.lit(2), F.size(pieces))
+    by_thousand = first.between(1, 3) & F.forall(rest, lambda n: n == 3)
+    by_lakh = first.between(1, 2) & (F.get(pieces, F.size(pieces) - 1) == 3) & F.forall(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0))), lambda n: n == 2)
+    return F.when(~F.contains(figure, F.lit(",")), "none").when(by_lakh & by_thousand, "both").when(by_lakh, "indian").when(by_thousand, "international")
 
 
 def with_number(df: DataFrame, col: str, prefix: str = "") -> DataFrame:

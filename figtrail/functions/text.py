@@ -17,8 +17,12 @@ def plain_blanks(c: Column) -> Column:
     return F.translate(c, "\u00a0\u2007\u202f", "   ")
 
 
+#: What a pattern calls white space.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(plain_blanks(c), r"^\s+|\s+$", "")
+    return F.btrim(plain_blanks(c), F.lit(BLANKS))
 
 
 def squeezed(c: Column) -> Column:

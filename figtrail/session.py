@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,7 +44,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A table several steps read is written once to the checkpoint folder and read back: the steps after it do not
-    repeat it, and a lost executor costs a re-read."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """A table several steps read, written once as Parquet under the checkpoint folder and read back: the steps after it
+    do not repeat it, read only the columns and rows they need, and a lost executor costs a read."""
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/figtrail/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

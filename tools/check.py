@@ -50,7 +50,7 @@ def compare(spark, con, name, query, oracle, folder):
     if sorted(cols) != sorted(df.columns):
         return "COLUMNS", f"{sorted(df.columns)} != {sorted(cols)}", took
     if got != want:
-        a, b = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+        a, b = (sorted(set(x) - set(y), key=repr)[:3] for x, y in ((got, want), (want, got)))
         return "DIFFER", f"{len(got)} vs {len(want)} rows\n   spark {a}\n   duck  {b}\n   columns {sorted(cols)}", took
     return "ok", f"{len(got)} rows, duck {duck:.1f}s", took
 
