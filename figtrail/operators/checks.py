@@ -10,6 +10,7 @@ from figtrail.functions.boxes import as_boxes, in_reading_order, words_in_boxes
 from figtrail.functions.numbers import NIL_FORMS, YEAR_SPAN, printed_decimals, with_number
 from figtrail.functions.ordered import running_sum
 from figtrail.functions.text import core_of, has_digit, letter_words, letters_only, stripped
+from figtrail.operators.normalise import change_kind
 
 # The kinds and roles a figure may have.
 REREAD_KINDS = ["number", "percent", "bps", "multiple", "nil", "date"]
@@ -156,9 +157,10 @@ def cell_values(cells: DataFrame) -> DataFrame:
 
 
 def without_changes(cells: DataFrame, columns: DataFrame | None) -> DataFrame:
-    """Cells of columns that state a change are no amounts: they neither add up nor balance."""
+    """Cells of columns that state a change are no amounts: they neither add up nor balance. Which columns these are is
+    told by ``columns`` or, without it, by the cells' own column label where they carry one."""
     if columns is None:
-        return cells
+        return cells.filter(change_kind(F.col("col_label")).isNull()) if "col_label" in cells.columns else cells
     return cells.join(columns.filter(F.col("change").isNotNull()).select(*TABLE, "col_no").distinct(), [*TABLE, "col_no"], "left_anti")
 
 
@@ -236,6 +238,15 @@ def comparison_key(key: Column, change: Column) -> Column:
                   .when((change == "qoq") & (span == "quarter"), before))
 
 
+def to_places(value: Column, places: Column) -> Column:
+    """Rounded to as many places as are printed beside it."""
+    out = F.when(places == 0, F.bround(value, 0))
+    for n in (1, 2, 3, 4):
+        out = out.when(places == n, F.bround(value, n))
+    scale = F.pow(F.lit(10.0), places)
+    return out.otherwise(F.bround(value * scale, 0) / scale)
+
+
 def check_stated_changes(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """columns: report_id, table_id, col_no, period_key, change. The current column is the nearest period column to
     the left of the change whose comparison period is also in the table."""
@@ -263,7 +274,7 @@ def check_stated_changes(cells: DataFrame, columns: DataFrame) -> DataFrame:
     allowed = half(F.col("s.raw")) * F.abs(prev) * hundredth + half(F.col("u.raw")) * 2
     computed = (cur.cast("double") - prev.cast("double")) / F.abs(prev.cast("double")) * 100
     return trio.filter(off > allowed).select(*TABLE, F.col("c").alias("col_no"), *row, F.lit("arithmetic").alias("check_name"), F.lit("warning").alias("severity"),
-                                             F.when(printed_decimals(F.col("s.raw")) == 0, F.bround(computed, 0)).when(printed_decimals(F.col("s.raw")) == 1, F.bround(computed, 1)).otherwise(F.bround(computed, 2)).alias("expected_change"), F.col("s.raw").alias("actual"))
+                                             to_places(computed, printed_decimals(F.col("s.raw"))).alias("expected_change"), F.col("s.raw").alias("actual"))
 
 
 # ------------------------------------------------------------------ C7–C9: tables against each other and their headers

@@ -202,12 +202,13 @@ def facet_counts(issues: DataFrame, filters: dict[str, str]) -> DataFrame:
 
 
 def review_totals(issues: DataFrame, filters: dict[str, str]) -> DataFrame:
-    """Rows the list shows under all filters, split into figures to decide and notes."""
+    """Rows the list shows under all filters, split into figures to decide and notes. An item is decided beside the page
+    only where it has a place there: a page and a box (x0)."""
     cond = F.lit(True)
     for f, v in filters.items():
         if v:
             cond = cond & (F.coalesce(F.col(FACETS[f]).cast("string"), F.lit("")) == str(v))
-    decidable = _open() & F.col("page").isNotNull() & ~F.col("check_name").isin(NOT_SIDE_BY_SIDE)
+    decidable = _open() & F.col("page").isNotNull() & F.col("x0").isNotNull() & ~F.col("check_name").isin(NOT_SIDE_BY_SIDE)
     rows = (issues.withColumns({"row": row_key(F.col("fid"), F.col("status"), F.col("issue_id")), "shown": cond, "fig": cond & decidable})
             .groupBy("version_id", "row").agg(F.max("shown").alias("shown"), F.max("fig").alias("fig")))
     return rows.groupBy("version_id").agg(

@@ -16,7 +16,7 @@ PLANS = [("free", 50), ("starter", 500), ("pro", 2000), ("enterprise", None)]
 # What a request costs in tokens.
 CROPS_PER_REQUEST, CROP_TOKENS, CROP_LABEL_TOKENS, CROP_PROMPT_TOKENS, CROP_OUTPUT_TOKENS = 12, 258, 8, 160, 18
 LAYOUT_PROMPT_TOKENS, LAYOUT_ELEMENT_TOKENS, LAYOUT_BASE_OUTPUT, LAYOUT_ELEMENT_OUTPUT, BUSY_PAGE = 1800, 45, 40, 6, 100
-LABEL_PROMPT_TOKENS, LABEL_SECTION_TOKENS, LABEL_OUTPUT_TOKENS, LABEL_SECTIONS = 300, 150, 1024, 400
+LABEL_PROMPT_TOKENS, LABEL_SECTION_TOKENS, LABEL_OUTPUT_TOKENS = 300, 150, 1024
 AUTO_CHECK_CREDITS = 20
 LAYOUT_RETRY_SECONDS = 6 * 3600
 LAYOUT_VERSION = "5"
@@ -152,24 +152,30 @@ def check_credits(n: Column) -> dict[str, Column]:
     return {"requests": calls, "input_tokens": tokens_in, "output_tokens": tokens_out, "credits": credits_for("gemini", tokens_in, tokens_out)}
 
 
-def spend_estimates(reports: DataFrame) -> DataFrame:
-    """reports: report_id, page_count. Upper bounds per build option."""
+def spend_estimates(reports: DataFrame, most_sections: int | None = None) -> DataFrame:
+    """reports: report_id, page_count. Upper bounds per build option. Two sections a page are priced for labelling, at
+    most ``most_sections`` where the caller sends no more than that."""
     pages = F.greatest(F.lit(0), F.col("page_count") - 1)
     layout = credits_for("gemini", pages * (LAYOUT_PROMPT_TOKENS + LAYOUT_ELEMENT_TOKENS * BUSY_PAGE),
                          pages * (LAYOUT_BASE_OUTPUT + LAYOUT_ELEMENT_OUTPUT * BUSY_PAGE))
-    sections = F.least(F.lit(LABEL_SECTIONS), F.greatest(F.lit(1), F.col("page_count")) * 2)
+    sections = F.greatest(F.lit(1), F.col("page_count")) * 2
+    if most_sections is not None:
+        sections = F.least(F.lit(most_sections), sections)
     labels = credits_for("anthropic", sections * LABEL_SECTION_TOKENS + LABEL_PROMPT_TOKENS, F.lit(LABEL_OUTPUT_TOKENS))
     return reports.withColumns({"layout_credits": layout, "label_credits": labels, "check_credits": F.lit(AUTO_CHECK_CREDITS).cast("bigint")}).withColumns(
         {"max_layout": F.col("layout_credits"), "max_full": F.col("layout_credits") + F.col("label_credits") + F.col("check_credits")})
 
 
-def second_opinion_queue(issues: DataFrame, figures: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Open blocking figures worth a second look, images first, as many as each version's budget pays for. The cost
-    of the first n rises with n, so the cut is a filter on the rank."""
+def second_opinion_queue(issues: DataFrame, figures: DataFrame, budgets: DataFrame, answers: DataFrame) -> DataFrame:
+    """Open blocking figures worth a second look, images first, then by the figure's own page, as many as each version's
+    budget pays for. figures: version_id, fid, raw, method, page, x0 (null where the figure has no box and cannot be shown).
+    answers: version_id, fid, raw, the value that was looked at; a figure that still has it is not paid for again. The
+    cost of the first n rises with n, so the cut is a filter on the rank."""
     asked = (issues.filter((F.col("status") == "open") & (F.col("severity") == "blocking") & F.col("fid").isNotNull()
                            & F.col("check_name").isin("re_extraction", "low_confidence"))
-             .groupBy("version_id", "fid").agg(F.min("page").alias("page")))
-    ready = asked.join(figures.select("version_id", "fid", (F.col("method") != "ocr").alias("from_text")), ["version_id", "fid"])
+             .select("version_id", "fid").distinct())
+    shown = figures.filter(F.col("x0").isNotNull()).select("version_id", "fid", "raw", "page", (F.col("method") != "ocr").alias("from_text"))
+    ready = shown.join(asked, ["version_id", "fid"], "left_semi").join(answers.select("version_id", "fid", "raw"), ["version_id", "fid", "raw"], "left_anti").drop("raw")
     ranked = numbered(ready, ["version_id"], F.struct("from_text", "page"), ["from_text", "page", "fid"], "rank")
     cost = check_credits(F.col("rank"))["credits"]
     return ranked.withColumn("cost", cost).join(budgets, "version_id").filter(F.col("cost") <= F.col("budget")).drop("budget")

@@ -102,12 +102,12 @@ TOTALS = f"WITH {VALUES} SELECT report_id, table_id, row_no, col_no, 'arithmetic
 
 @query("c4_check_totals", TOTALS)
 def c4(t):
-    return op.check_totals(t("fx_cells"))
+    return op.check_totals(t("fx_stated_cells"))
 
 
 @query("c4_cells_in_totals", f"WITH {VALUES} SELECT g.report_id, g.table_id, g.row_no, g.col_no, w.ok AS confirmed FROM g JOIN w USING (report_id, table_id, segment, col_no) WHERE w.n_ok > 0 AND g.val IS NOT NULL")
 def c4b(t):
-    return op.cells_in_totals(t("fx_cells"))
+    return op.cells_in_totals(t("fx_stated_cells"))
 
 
 @query("a4_run_summary_of_totals", f"""
@@ -125,7 +125,7 @@ def a4t(t):
     SELECT a.report_id, a.table_id, a.col_no, 'arithmetic' AS check_name, 'blocking' AS severity, a.raw AS expected, l.raw AS actual FROM fx_balance a JOIN fx_balance l USING (report_id, table_id, col_no)
     WHERE a.label = 'Total assets' AND l.label = 'Total equity and liabilities' AND a.raw <> l.raw""")
 def c5(t):
-    return op.check_balance(t("fx_balance"))
+    return op.check_balance(t("fx_stated_balance"))
 
 
 def _change_columns(t):

@@ -31,6 +31,13 @@ FIXTURES: dict[str, str] = {
                      CAST(sum(CAST(l_tax AS DECIMAL(18,2))) AS STRING)
               FROM {lineitem} GROUP BY l_orderkey) x
         CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3) k""",
+    # the same tables with a column that states a change, whose figures neither add up nor balance
+    "fx_stated_cells": """
+        SELECT report_id, table_id, row_no, label, col_no, raw, CASE col_no WHEN 1 THEN 'Q2 FY25' WHEN 2 THEN 'Quantity' ELSE 'Tax' END AS col_label FROM fx_cells
+        UNION ALL SELECT report_id, table_id, row_no, label, 4, concat(CAST(row_no + 3 AS STRING), '.5'), 'YoY' FROM fx_cells WHERE col_no = 1""",
+    "fx_stated_balance": """
+        SELECT report_id, table_id, row_no, label, col_no, raw, 'Amount' AS col_label FROM fx_balance
+        UNION ALL SELECT report_id, table_id, row_no, label, 2, concat(CAST(row_no AS STRING), '.5'), '% Change' FROM fx_balance""",
     "fx_balance": """
         SELECT o_custkey AS report_id, 'b1' AS table_id, r AS row_no, 1 AS col_no,
                CASE r WHEN 1 THEN 'Total assets' WHEN 2 THEN 'Other income' ELSE 'Total equity and liabilities' END AS label,

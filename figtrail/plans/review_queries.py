@@ -161,9 +161,9 @@ def a8(t):
 
 @query("a8_review_totals", f"""
     SELECT version_id, count(*) FILTER (WHERE s) AS rows, count(*) FILTER (WHERE g) AS figures, count(*) FILTER (WHERE s AND NOT g) AS notes, count(*) AS all_rows FROM (
-      SELECT version_id, {_ROW} AS row_key, bool_or(severity = 'blocking') AS s, bool_or(severity = 'blocking' AND status = 'open' AND check_name NOT IN ('rendered_page','schema','reviewer_flag','completeness')) AS g FROM fx_issues GROUP BY ALL) GROUP BY ALL""")
+      SELECT version_id, {_ROW} AS row_key, bool_or(severity = 'blocking') AS s, bool_or(severity = 'blocking' AND status = 'open' AND issue_id % 6 <> 0 AND check_name NOT IN ('rendered_page','schema','reviewer_flag','completeness')) AS g FROM fx_issues GROUP BY ALL) GROUP BY ALL""")
 def a8b(t):
-    return op.review_totals(t("fx_issues"), {"severity": "blocking"})
+    return op.review_totals(t("fx_issues").withColumn("x0", F.when(F.col("issue_id") % 6 != 0, 10.0)), {"severity": "blocking"})
 
 
 @query("a9_section_labels", f"""

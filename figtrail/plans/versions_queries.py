@@ -236,21 +236,27 @@ _PC = "CAST(greatest(0, page_count - 1) AS BIGINT)"
 @query("u9_spend_estimates", f"""
     SELECT report_id, page_count, l AS layout_credits, b AS label_credits, 20 AS check_credits, l AS max_layout, l + b + 20 AS max_full, CAST(ceil(page_count / 12.0) AS BIGINT) AS check_requests,
       CAST(ceil((CAST(page_count * 266 + ceil(page_count / 12.0) * 160 AS DECIMAL(18,0)) * 0.30 + page_count * 18 * 2.50) / 10000) AS BIGINT) AS check_cost
-    FROM (SELECT *, CAST(ceil(({_PC} * 6300 * 0.30 + {_PC} * 640 * 2.50) / 10000) AS BIGINT) AS l, CAST(ceil(((least(400, greatest(1, page_count) * 2) * 150 + 300) * 2.0 + 10240.0) / 10000) AS BIGINT) AS b FROM (SELECT c_custkey AS report_id, c_custkey % 600 AS page_count FROM customer))""")
+    FROM (SELECT *, CAST(ceil(({_PC} * 6300 * 0.30 + {_PC} * 640 * 2.50) / 10000) AS BIGINT) AS l, CAST(ceil(((greatest(1, page_count) * 2 * 150 + 300) * 2.0 + 10240.0) / 10000) AS BIGINT) AS b FROM (SELECT c_custkey AS report_id, c_custkey % 600 AS page_count FROM customer))""")
 def u9(t):
     df = usage.spend_estimates(t("customer").select(F.col("c_custkey").alias("report_id"), (F.col("c_custkey") % 600).alias("page_count")))
     n = usage.check_credits(F.col("page_count"))
     return df.withColumns({"check_requests": n["requests"], "check_cost": n["credits"]})
 
 
-@query("u10_second_opinion_queue", """
-    WITH q AS (SELECT version_id, fid, min(page) AS page FROM fx_issues WHERE status = 'open' AND severity = 'blocking' AND fid IS NOT NULL AND check_name IN ('re_extraction','low_confidence') GROUP BY ALL),
-    r AS (SELECT q.*, f.method <> 'ocr' AS from_text, row_number() OVER (PARTITION BY version_id ORDER BY f.method <> 'ocr', page, fid) AS rank FROM q JOIN fx_run_figures f USING (version_id, fid)),
+# figures with their page and, for most, a box; every answer given is one about a value
+_SHOWN = "SELECT *, CAST(substr(fid, 4) AS INT) % 9 + 1 AS page, CASE WHEN CAST(substr(fid, 4) AS INT) % 17 <> 5 THEN CAST(10 AS DOUBLE) END AS x0 FROM fx_run_figures"
+
+
+@query("u10_second_opinion_queue", f"""
+    WITH q AS (SELECT DISTINCT version_id, fid FROM fx_issues WHERE status = 'open' AND severity = 'blocking' AND fid IS NOT NULL AND check_name IN ('re_extraction','low_confidence')),
+    r AS (SELECT f.*, row_number() OVER (PARTITION BY version_id ORDER BY f.method <> 'ocr', page, fid) AS rank FROM q JOIN ({_SHOWN}) f USING (version_id, fid)
+      WHERE x0 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fx_opinions o WHERE o.version_id = f.version_id AND o.fid = f.fid AND o.seen_raw = f.raw)),
     c AS (SELECT *, CAST(ceil((CAST(rank * 266 + ((rank + 11) // 12) * 160 AS DECIMAL(18,0)) * 0.30 + rank * 18 * 2.50) / 10000) AS BIGINT) AS cost FROM r)
     SELECT version_id, fid, rank, cost FROM c WHERE cost <= version_id % 3""")
 def u10(t):
     budgets = t("fx_run_figures").select("version_id").distinct().withColumn("budget", F.col("version_id") % 3)
-    return usage.second_opinion_queue(t("fx_issues"), t("fx_run_figures"), budgets).select("version_id", "fid", "rank", "cost")
+    answers = t("fx_opinions").withColumnRenamed("seen_raw", "raw")
+    return usage.second_opinion_queue(t("fx_issues"), t.sql(_SHOWN), budgets, answers).select("version_id", "fid", "rank", "cost")
 
 
 _SIG = "concat_ws('|', CAST(line_no AS VARCHAR), 'text', CAST(CAST(round_even(x0, 0) AS BIGINT) AS VARCHAR), CAST(CAST(round_even(y0, 0) AS BIGINT) AS VARCHAR), CAST(CAST(round_even(x1, 0) AS BIGINT) AS VARCHAR), CAST(CAST(round_even(y1, 0) AS BIGINT) AS VARCHAR), text)"

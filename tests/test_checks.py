@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from figtrail.operators import checks, layout, review
+from figtrail.operators import usage, checks, layout, review
 from figtrail.operators.sections import assign_sections
 
 CELL = "report_id string, table_id string, row_no int, label string, col_no int, raw string"
@@ -80,7 +80,7 @@ def test_figure_counts_add_up_before_and_after_decisions(spark):
 
 def test_facets_show_as_many_rows_as_they_say(spark):
     rows = [(i, 1, f"f{i % 7}" if i % 3 else None, ["arithmetic", "completeness"][i % 2], ["blocking", "warning"][i % 5 == 0], "open" if i % 4 else "resolved", i % 6 + 1, f"s{i % 3}") for i in range(60)]
-    issues = spark.createDataFrame(rows, "issue_id int, version_id int, fid string, check_name string, severity string, status string, page int, section_id string")
+    issues = spark.createDataFrame(rows, "issue_id int, version_id int, fid string, check_name string, severity string, status string, page int, section_id string").withColumn("x0", F.lit(1.0))
     base = {"severity": "blocking"}
     for r in review.facet_counts(issues, base).collect():
         chosen = {**base, r.facet: r.value}
@@ -88,6 +88,29 @@ def test_facets_show_as_many_rows_as_they_say(spark):
         assert total.rows == r.rows, r
 
 
+def test_an_item_without_a_box_is_not_decided_beside_the_page(spark):
+    rows = [(1, 1, "f1", "arithmetic", "blocking", "open", 1, "s", 5.0), (2, 1, "f2", "arithmetic", "blocking", "open", 1, "s", None)]
+    issues = spark.createDataFrame(rows, "issue_id int, version_id int, fid string, check_name string, severity string, status string, page int, section_id string, x0 double")
+    total = review.review_totals(issues, {}).first()
+    assert (total.rows, total.figures, total.notes) == (2, 1, 1)
+
+
+def test_an_answered_figure_is_not_paid_for_again(spark):
+    issues = spark.createDataFrame([(1, f"f{i}", "open", "blocking", "re_extraction", 9) for i in range(4)], "version_id int, fid string, status string, severity string, check_name string, page int")
+    figures = spark.createDataFrame([(1, "f0", "1", "ocr", 3, 1.0), (1, "f1", "2", "ocr", 2, 1.0), (1, "f2", "3", "text_layer", 1, 1.0), (1, "f3", "4", "ocr", 1, None)], "version_id int, fid string, raw string, method string, page int, x0 double")
+    answers = spark.createDataFrame([(1, "f0", "1"), (1, "f1", "old")], "version_id int, fid string, raw string")
+    budgets = spark.createDataFrame([(1, 100)], "version_id int, budget int")
+    got = usage.second_opinion_queue(issues, figures, budgets, answers).orderBy("rank").collect()
+    assert [(r.fid, r["rank"]) for r in got] == [("f1", 1), ("f2", 2)]
+
+
+def test_columns_that_state_a_change_do_not_add_up(spark):
+    rows = [("r", "t", n, label, c, raw, "YoY growth" if c == 2 else "2025") for n, label, a, b in ((1, "A", "11", "4"), (2, "B", "19", "8"), (3, "Total", "30", "6")) for c, raw in ((1, a), (2, b))]
+    cells = spark.createDataFrame(rows, "report_id string, table_id string, row_no int, label string, col_no int, raw string, col_label string")
+    assert checks.check_totals(cells).count() == 0
+    assert checks.check_totals(cells.drop("col_label")).count() == 1
+
+
 def test_a_confirmation_holds_only_at_the_confirmed_value(spark):
     issues = spark.createDataFrame([(1, 1, "f1", "traceability", "blocking", "m", 1, "open"), (2, 1, "f2", "traceability", "blocking", "m", 1, "open"), (3, 1, "f1", "rendered_page", "blocking", "m", 1, "open")],
                                    "issue_id int, version_id int, fid string, check_name string, severity string, message string, page int, status string")
