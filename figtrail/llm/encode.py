@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import threading
 import unicodedata
 
@@ -14,13 +15,20 @@ _LETTERS = "a-zà-öø-ÿß"
 
 
 class _Cache(dict):
+    """Made values of the words seen lately. When CACHED are held they become the older half, from which a word that is
+    asked for again is taken back, so frequent words are made once; a bound on memory, not on texts."""
+
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
         if len(self) >= CACHED:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -48,13 +56,17 @@ class Encoder:
         self.words = _Cache(self._word)
 
     def _packed(self, ids) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        return self._packed(t.id for t in self.model.tokenize(piece.translate(self.mapped)))
+        found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.mapped))
+        return found[0].id.to_bytes(4, "little") if len(found) == 1 else self._packed([t.id for t in found])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
+        if text.isascii() and text.isprintable():
+            parts = self.split.findall(text)
+            return self.pieces[parts[0]] if len(parts) == 1 else b"".join(map(self.pieces.__getitem__, parts))
         if self.plain.fullmatch(text) and unicodedata.is_normalized("NFC", text):
             return b"".join(map(self.pieces.__getitem__, self.split.findall(text.lower())))
         return self._packed(self.whole.encode(text, add_special_tokens=False).ids)
