@@ -101,15 +101,19 @@ def _spans(kind: str, pattern: str) -> str:
   FROM (SELECT doc_id, unnest(string_split_regex(t, '{quoted}')) AS p, unnest(regexp_extract_all(t, '{quoted}')) AS m, unnest(range(len(string_split_regex(t, '{quoted}')))) AS i FROM texts)"""
 
 
+_LISTED = "|".join(secrets.ALLOWED)
 _FIND = f"""
 texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({_spans('assign', secrets.ASSIGN)} UNION ALL {_spans('access', 'AKIA[A-Z0-9]+')} UNION ALL {_spans('hex', '[0-9a-f]+')}),
 base AS (SELECT doc_id, kind, s, s + length(m) AS e, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS k FROM found WHERE m IS NOT NULL AND CASE kind WHEN 'assign' THEN length(regexp_extract(m, '{secrets.ASSIGN.replace("'", "''")}', 2)) >= 6 WHEN 'access' THEN length(m) >= 20 ELSE length(m) >= 24 END),
-strings AS (SELECT row_number() OVER () AS c, * FROM ({_spans('', secrets.CANDIDATE)}) WHERE m IS NOT NULL AND NOT regexp_matches(lower(m), '{"|".join(secrets.ALLOWED)}')),
-windows AS (SELECT c, doc_id, s, i, substring(m, i + 1, {secrets.WINDOW}) AS w FROM (SELECT *, unnest(range(length(m) - {secrets.WINDOW - 1})) AS i FROM strings)),
+strings AS (SELECT row_number() OVER () AS c, * FROM ({_spans('', secrets.CANDIDATE)}) WHERE m IS NOT NULL),
+listed AS (SELECT c, (sum(length(p) + coalesce(length(x), 0)) OVER (PARTITION BY c ORDER BY i) - length(x))::BIGINT AS lo, (sum(length(p) + coalesce(length(x), 0)) OVER (PARTITION BY c ORDER BY i))::BIGINT AS hi, x
+  FROM (SELECT c, unnest(string_split_regex(lower(m), '{_LISTED}')) AS p, unnest(regexp_extract_all(lower(m), '{_LISTED}')) AS x, unnest(range(len(string_split_regex(lower(m), '{_LISTED}')))) AS i FROM strings)),
+windows AS (SELECT c, doc_id, s, i, substring(m, i + 1, {secrets.WINDOW}) AS w FROM (SELECT *, unnest(range(length(m) - {secrets.WINDOW - 1})) AS i FROM strings) u WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.c = u.c AND x IS NOT NULL AND lo < u.i + {secrets.WINDOW} AND hi > u.i)),
 letters AS (SELECT c, i, x, count(*) AS n FROM (SELECT c, i, unnest(string_split(w, '')) AS x FROM windows) GROUP BY ALL),
-judged AS (SELECT c, i, sum(round(n * log2(n) * 1e6)::BIGINT) AS total, sum(n) FILTER (x BETWEEN '0' AND '9') AS digits, sum(n) FILTER (regexp_matches(x, '[A-Za-z]')) AS alphas, sum(n) FILTER (regexp_matches(x, '[0-9a-f]')) AS hexes FROM letters GROUP BY c, i),
-kinds AS (SELECT c, i, CASE WHEN coalesce(digits, 0) < 2 OR coalesce(alphas, 0) < 2 THEN NULL WHEN hexes = {secrets.WINDOW} THEN CASE WHEN total <= {secrets.most(3.0)} THEN 'entropy_hex' END WHEN total <= {secrets.most(3.8)} THEN 'entropy_text' END AS kind FROM judged),
+judged AS (SELECT c, i, sum(round(n * log2(n) * 1e6)::BIGINT) AS total, sum(n) FILTER (x BETWEEN '0' AND '9') AS digits, sum(n) FILTER (regexp_matches(x, '[A-Za-z]')) AS alphas, sum(n) FILTER (regexp_matches(x, '[0-9a-f]')) AS hexes, sum(n) FILTER (regexp_matches(x, '[0-9A-F]')) AS capital_hexes FROM letters GROUP BY c, i),
+kinds AS (SELECT c, i, CASE WHEN digits >= 2 AND alphas >= 2 THEN CASE WHEN hexes = {secrets.WINDOW} OR capital_hexes = {secrets.WINDOW} THEN CASE WHEN total <= {secrets.most(3.0)} THEN 'entropy_hex' END WHEN total <= {secrets.most(3.8)} THEN 'entropy_text' END
+  WHEN alphas >= {secrets.WINDOW - 1} AND alphas + coalesce(digits, 0) = {secrets.WINDOW} AND total <= {secrets.most(4.0)} THEN 'entropy_letters' END AS kind FROM judged),
 marked AS (SELECT *, CASE WHEN lag(i) OVER w >= i - {secrets.WINDOW} AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS new FROM kinds WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY c ORDER BY i)),
 runs AS (SELECT c, any_value(kind) AS kind, min(i) AS lo, max(i) + {secrets.WINDOW} AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY c ORDER BY i) AS r FROM marked) GROUP BY c, r),
 added AS (SELECT doc_id, kind, s + lo AS s, s + hi AS e, 3 AS k FROM runs JOIN (SELECT c, doc_id, s FROM strings) USING (c)),

@@ -291,6 +291,7 @@ def test_copies_over_many_partitions(spark, odd, none):
 def test_entropy_of_windows_by_counting(spark):
     rng = np.random.default_rng(9)
     texts = ["".join(rng.choice(list(secrets.SYMBOLS[:k]), n)) for k in (10, 16, 36, 62, 66) for n in (20, 27, 64, 300)] + ["a1" * 30, "deadbeef0123" * 4]
+    texts += ["".join(rng.choice(list(k), 60)) for k in ("0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-7")]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.high_entropy(F.col("t")).alias("s")).collect()
     for r in got:
         marks = []
@@ -298,8 +299,10 @@ def test_entropy_of_windows_by_counting(spark):
             w = r.t[i:i + 20]
             bits = -sum(k / 20 * log2(k / 20) for k in Counter(w).values())
             mixed = sum(c.isdigit() for c in w) >= 2 and sum(c.isalpha() for c in w) >= 2
-            kind = "entropy_hex" if set(w) <= set("0123456789abcdef") else "entropy_text"
-            if mixed and bits >= secrets.LEAST[kind] - 1e-9:
+            kind = "entropy_hex" if set(w) <= set("0123456789abcdef") or set(w) <= set("0123456789ABCDEF") else "entropy_text"
+            if not mixed and w.isalnum() and sum(c.isalpha() for c in w) >= 19:
+                kind = "entropy_letters"
+            if (mixed or kind == "entropy_letters") and bits >= secrets.LEAST[kind] - 1e-9:
                 if marks and marks[-1][2] == kind and marks[-1][1] >= i:
                     marks[-1][1] = i + 20
                 else:
@@ -312,7 +315,11 @@ def test_secret_forms(spark, odd, none):
     got = {r.doc_id: r for r in secrets.scan_secrets(docs_of(spark, rows)).collect()}
     assert got[1].spans == "assign:28:45" and got[1].n_assign == 1
     assert got[2].spans == "access:0:20,hex:31:55"
-    assert got[3].n_added == 1 and got[3].spans.startswith("entropy_text:4:") and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[3].n_added == 2 and got[3].spans == "entropy_text:4:27,entropy_text:42:65" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    key, letters, hexa = "9fQ2xLr7Tb4Wm8Zc1Vn6Kp3Rt5Ys0Gd", "qWzXeRcTvYbUnImOpLkJhGfDsAoPzQwErT", "9F03BC77A1D2E4568890FEDC12AB34CD56EF7089"
+    rows = [(1, f"x/sample/{key}", "s"), (2, f"sample{'a' * 20}", "s"), (3, letters, "s"), (4, hexa, "s"), (5, "thequickbrownfoxjumpsoverthelazydog" * 2, "s")]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(docs_of(spark, rows)).collect()}
+    assert got[1] == f"entropy_text:9:{9 + len(key)}" and got[2] == "" and got[3].startswith("entropy_letters:") and got[4].startswith("entropy_hex:0:")
     assert secrets.scan_secrets(odd).count() == 10 and secrets.scan_secrets(none).count() == 0
 
 
