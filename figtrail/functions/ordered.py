@@ -1,9 +1,10 @@
-"""Ordered scans that do not need one task per group.
+"""Ordered scans that do not need one task per group, in one pass over their input.
 
 A running count, sum or last value over a group is normally a window over that group, which puts a hot group
 into one task. Here the group is cut into blocks of its own order (a page range, a day, a row range): the scan
-runs inside each block, one small row per block is scanned over the group, and the two are joined back. Exact,
-and the largest task is one block or one group's block list.
+runs inside each block and is written once, one small row per block is read off it and scanned over the group, and
+blocks that have something before them are given what that is. Exact; the input is read once, scans that follow
+one another do not repeat those before, and the largest task is one block or one group's block list.
 """
 
 from __future__ import annotations
@@ -12,75 +13,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from figtrail.session import cut
 
-def _block_offsets(blocks: DataFrame, keys: list[str], block: str, value: Column, out: str) -> DataFrame:
-    before = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    return blocks.withColumn(out, value.over(before))
+_NO_ROWS_BEFORE = W.unboundedPreceding, -1
+_NO_ROWS_AFTER = 1, W.unboundedFollowing
+
+
+def _in_blocks(df: DataFrame, keys: list[str], block: str | Column, order: list, local: Column, frame: tuple[int, int] | None) -> DataFrame:
+    df = df.withColumn("_block", block if isinstance(block, Column) else F.col(block))
+    w = W.partitionBy(*keys, "_block").orderBy(*order)
+    return cut(df.withColumn("_local", local.over(w.rowsBetween(*frame) if frame else w)))
+
+
+def _carried(local: DataFrame, keys: list[str], top: Column, scan: Column, frame: tuple[int, int], combine: Column, out: str) -> DataFrame:
+    """Blocks that inherit something, given to their rows. Groups of one block, the usual case, meet an empty side."""
+    w = W.partitionBy(*keys).orderBy("_block").rowsBetween(*frame)
+    tops = local.groupBy(*keys, "_block").agg(top.alias("_top"))
+    inherited = tops.withColumn("_carry", scan.over(w)).filter(F.col("_carry").isNotNull()).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_k__block"), "_carry")
+    on = F.lit(True)
+    for k in [*keys, "_block"]:
+        on = on & local[k].eqNullSafe(inherited[f"_k_{k}"])
+    return local.join(inherited, on, "left").withColumn(out, combine).drop("_block", "_local", "_carry", *[f"_k_{k}" for k in [*keys, "_block"]])
 
 
 def numbered(df: DataFrame, keys: list[str], block: str | Column, order: list, out: str = "n") -> DataFrame:
     """row_number within keys, where ``block`` never decreases along ``order``."""
-    df = df.withColumn("_block", block if isinstance(block, Column) else F.col(block))
-    sizes = df.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = _block_offsets(sizes, keys, "_block", F.sum("_size"), "_before").drop("_size")
-    local = df.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_block").orderBy(*order)))
-    return (_join_back(local, offsets, keys)
-            .withColumn(out, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint"))
-            .drop("_block", "_local", "_before"))
+    local = _in_blocks(df, keys, block, order, F.row_number(), None)
+    whole = (F.col("_local") + F.coalesce("_carry", F.lit(0))).cast("bigint")
+    return _carried(local, keys, F.max("_local"), F.sum("_top"), _NO_ROWS_BEFORE, whole, out)
 
 
 def running_sum(df: DataFrame, keys: list[str], block: str | Column, order: list, value: str, out: str,
                 inclusive: bool = True) -> DataFrame:
-    df = df.withColumn("_block", block if isinstance(block, Column) else F.col(block))
-    sizes = df.groupBy(*keys, "_block").agg(F.sum(value).alias("_size"))
-    offsets = _block_offsets(sizes, keys, "_block", F.sum("_size"), "_before").drop("_size")
-    frame = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    local = df.withColumn("_local", F.sum(value).over(frame))
+    local = _in_blocks(df, keys, block, order, F.sum(value), (W.unboundedPreceding, 0 if inclusive else -1))
     zero = F.lit(0)
-    return (_join_back(local, offsets, keys)
-            .withColumn(out, F.coalesce("_local", zero) + F.coalesce("_before", zero)).drop("_block", "_local", "_before"))
+    return _carried(local, keys, F.sum(value), F.sum("_top"), _NO_ROWS_BEFORE, F.coalesce("_local", zero) + F.coalesce("_carry", zero), out)
 
 
 def running_max(df: DataFrame, keys: list[str], block: str | Column, order: list, value: str, out: str) -> DataFrame:
-    df = df.withColumn("_block", block if isinstance(block, Column) else F.col(block))
-    tops = df.groupBy(*keys, "_block").agg(F.max(value).alias("_top"))
-    offsets = _block_offsets(tops, keys, "_block", F.max("_top"), "_before").drop("_top")
-    frame = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = df.withColumn("_local", F.max(value).over(frame))
-    return _join_back(local, offsets, keys).withColumn(out, F.greatest("_local", "_before")).drop("_block", "_local", "_before")
+    local = _in_blocks(df, keys, block, order, F.max(value), (W.unboundedPreceding, 0))
+    return _carried(local, keys, F.max("_local"), F.max("_top"), _NO_ROWS_BEFORE, F.greatest("_local", "_carry"), out)
 
 
 def last_seen(df: DataFrame, keys: list[str], block: str | Column, order: list[str], value: str, out: str,
               inclusive: bool = True) -> DataFrame:
     """The last non-null ``value`` at (or, exclusive, before) each row, along ascending ``order``."""
-    df = df.withColumn("_block", block if isinstance(block, Column) else F.col(block))
-    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
-    tops = df.groupBy(*keys, "_block").agg(last.alias("_top"))
-    offsets = _block_offsets(tops, keys, "_block", F.last("_top", ignorenulls=True), "_before").drop("_top")
-    frame = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    local = df.withColumn("_local", F.last(value, ignorenulls=True).over(frame))
-    return _join_back(local, offsets, keys).withColumn(out, F.coalesce("_local", "_before")).drop("_block", "_local", "_before")
+    local = _in_blocks(df, keys, block, order, F.last(value, ignorenulls=True), (W.unboundedPreceding, 0 if inclusive else -1))
+    newest = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+    return _carried(local, keys, newest, F.last("_top", ignorenulls=True), _NO_ROWS_BEFORE, F.coalesce("_local", "_carry"), out)
 
 
 def first_seen_after(df: DataFrame, keys: list[str], block: str | Column, order: list[str], value: str, out: str,
                      inclusive: bool = False) -> DataFrame:
     """The first non-null ``value`` after (or at) each row, along ascending ``order``."""
-    df = df.withColumn("_block", block if isinstance(block, Column) else F.col(block))
-    first = F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
-    tops = df.groupBy(*keys, "_block").agg(first.alias("_top"))
-    after = W.partitionBy(*keys).orderBy("_block").rowsBetween(1, W.unboundedFollowing)
-    offsets = tops.withColumn("_after", F.first("_top", ignorenulls=True).over(after)).drop("_top")
-    frame = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(0 if inclusive else 1, W.unboundedFollowing)
-    local = df.withColumn("_local", F.first(value, ignorenulls=True).over(frame))
-    return _join_back(local, offsets, keys).withColumn(out, F.coalesce("_local", "_after")).drop("_block", "_local", "_after")
-
-
-def _join_back(local: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
-    on = [local[k].eqNullSafe(offsets[k]) for k in [*keys, "_block"]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = local.join(offsets, cond, "left")
-    for k in [*keys, "_block"]:
-        joined = joined.drop(offsets[k])
-    return joined
+    local = _in_blocks(df, keys, block, order, F.first(value, ignorenulls=True), (0 if inclusive else 1, W.unboundedFollowing))
+    oldest = F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+    return _carried(local, keys, oldest, F.first("_top", ignorenulls=True), _NO_ROWS_AFTER, F.coalesce("_local", "_carry"), out)

@@ -117,31 +117,42 @@ def _band_words(words: DataFrame, pages: DataFrame) -> DataFrame:
     return words.join(height, PAGE).filter((F.col("y1") < F.col("_ph") * BAND_SHARE) | (F.col("y0") > F.col("_ph") * (1 - BAND_SHARE))).drop("_ph")
 
 
-def _piece_bounds(length: Column, i: Column, k: Column) -> tuple[Column, Column]:
-    a, b = F.floor(i * length / k).cast("int"), F.floor((i + 1) * length / k).cast("int")
-    return a, b - a
+GRAM = 2
+
+
+def _most_edits(length: Column) -> Column:
+    """Edits between two signatures that are alike and at most three characters apart in length."""
+    return F.floor((length + 3) * (1 - SAME_LINE_RATIO) + 1e-9).cast("int")
+
+
+def rare_grams(signatures: DataFrame) -> DataFrame:
+    """report_id, sig, gram: of each signature's pairs of letters the ones that fewest signatures of the report have, as
+    many as edits can touch and one more. Strings within d edits differ in at most GRAM * d of them, so two that are
+    alike share one of these. A pair that comes again in a signature counts as another."""
+    n = F.length("sig")
+    pairs = F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(F.col("sig"), i, F.lit(GRAM)))
+    grams = once(signatures.select("report_id", "sig").distinct().filter(n >= GRAM), {"_pairs": pairs})
+    told = F.transform("_pairs", lambda g, i: F.concat(g, F.size(F.filter(F.slice("_pairs", F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    grams = grams.select("report_id", "sig", F.explode(told).alias("gram"))
+    spread = grams.groupBy("report_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    ranked = grams.join(spread, ["report_id", "gram"]).groupBy("report_id", "sig").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    return ranked.select("report_id", "sig", F.explode(F.slice("g", F.lit(1), _most_edits(F.length("sig")) * GRAM + 1)["gram"]).alias("gram"))
+
+
+def candidate_signatures(signatures: DataFrame) -> DataFrame:
+    """Pairs (sig, other) of one report that share a rare pair of letters and are near in length, both ways round. What
+    many titles start with is rare in none of them, so it brings no candidates together."""
+    kept = cut(rare_grams(signatures))
+    pairs = kept.join(kept.select("report_id", "gram", F.col("sig").alias("other")), ["report_id", "gram"])
+    return pairs.filter((F.abs(F.length("sig") - F.length("other")) <= 3) & (F.col("sig") != F.col("other"))).select("report_id", "sig", "other").distinct()
 
 
 def similar_signatures(signatures: DataFrame) -> DataFrame:
-    """Pairs (sig, other) of one report with edit similarity of at least 0.88 and lengths within 3.
-
-    Not all pairs are tried: strings within d edits share one of d+1 pieces of either, shifted by at most d. Each
-    signature is indexed by its pieces and looked up by the substrings that could be one, so work grows with the
-    number of signatures and the test runs on real candidates only."""
-    edits = lambda n: F.floor((n + 3) * (1 - SAME_LINE_RATIO)).cast("int")
-    length = F.length("sig")
-    k = edits(length) + 1
-    index = signatures.select("report_id", F.col("sig").alias("other"), length.alias("n"), F.explode(F.sequence(F.lit(0), k - 1)).alias("i")).withColumn("k", edits(F.col("n")) + 1)
-    a, size = _piece_bounds(F.col("n"), F.col("i"), F.col("k"))
-    index = index.select("report_id", "other", "n", "i", F.substring(F.col("other"), a + 1, size).alias("piece"))
-    probe = signatures.select("report_id", "sig", F.explode(F.sequence(F.greatest(F.lit(1), length - 3), length + 3)).alias("n")).withColumn("k", edits(F.col("n")) + 1)
-    probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("shift", F.explode(F.sequence(-(F.col("k") - 1), F.col("k") - 1)))
-    a, size = _piece_bounds(F.col("n"), F.col("i"), F.col("k"))
-    probe = (probe.withColumns({"a": a + F.col("shift"), "size": size}).filter((F.col("a") >= 0) & (F.col("a") + F.col("size") <= F.length("sig")))
-             .select("report_id", "sig", "n", "i", F.substring(F.col("sig"), F.col("a") + 1, F.col("size")).alias("piece")).distinct())
-    pairs = probe.join(index, ["report_id", "n", "i", "piece"]).select("report_id", "sig", "other").distinct()
+    """Pairs (sig, other) of one report with edit similarity of at least 0.88 and lengths within 3, each with itself too.
+    Candidates come from the rarest pairs of letters, so work grows with what is alike, not with what is common."""
     longer = F.greatest(F.length("sig"), F.length("other"))
-    return pairs.filter((F.abs(F.length("sig") - F.length("other")) <= 3) & (1 - F.levenshtein("sig", "other") / longer >= SAME_LINE_RATIO))
+    alike = candidate_signatures(signatures).filter(1 - F.levenshtein("sig", "other") / longer >= SAME_LINE_RATIO)
+    return alike.unionByName(signatures.select("report_id", "sig", F.col("sig").alias("other")).distinct())
 
 
 def running_lines(words: DataFrame, pages: DataFrame) -> DataFrame:

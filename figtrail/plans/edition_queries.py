@@ -174,14 +174,21 @@ def m2(t):
     return m.legal_names(t("fx_texts"))
 
 
-@query("m3_name_extension", None)
+# one step of the walk as a table of phrases, taken three times
+@query("m3_name_extension", f"""
+    WITH {NOUNS}, tl AS (SELECT report_id, page, pos, token, lead(token, 1) OVER w AS a1, lead(token, 2) OVER w AS a2, lead(token, 3) OVER w AS a3 FROM tk WINDOW w AS (PARTITION BY report_id, page ORDER BY pos)),
+    gr AS (SELECT report_id, token AS phrase, a1 AS nx FROM tl UNION ALL SELECT report_id, token || ' ' || a1, a2 FROM tl WHERE a1 IS NOT NULL UNION ALL SELECT report_id, token || ' ' || a1 || ' ' || a2, a3 FROM tl WHERE a2 IS NOT NULL),
+    us AS (SELECT report_id, phrase, CASE WHEN regexp_matches(nx, '^[A-Z][A-Za-z&-]+$') AND nx <> upper(nx) THEN nx END AS nx, count(*) AS k FROM gr GROUP BY ALL),
+    st AS (SELECT report_id, phrase, phrase || ' ' || nx AS longer FROM (SELECT *, sum(k) OVER (PARTITION BY report_id, phrase) AS uses, row_number() OVER (PARTITION BY report_id, phrase ORDER BY nx IS NULL, k DESC, nx DESC) AS r FROM us) WHERE r = 1 AND nx IS NOT NULL AND k >= 0.6 * uses
+        AND (report_id, lower(nx)) IN (SELECT (report_id, word) FROM nv WHERE as_title)),
+    p AS (SELECT report_id, name, count(*) AS uses FROM (SELECT report_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-Z][A-Za-z&]+)[''’]s\\b', 1)) AS name FROM fx_texts) GROUP BY ALL),
+    n0 AS (SELECT p.report_id, name FROM p JOIN nv ON nv.report_id = p.report_id AND nv.word = lower(name) WHERE (as_title OR as_acronym) AND pages >= 2 AND (uses >= 2 OR pages >= 3)),
+    n1 AS (SELECT n0.report_id, COALESCE(longer, name) AS name FROM n0 LEFT JOIN st ON st.report_id = n0.report_id AND st.phrase = name), n2 AS (SELECT n1.report_id, COALESCE(longer, name) AS name FROM n1 LEFT JOIN st ON st.report_id = n1.report_id AND st.phrase = name)
+    SELECT n2.report_id, COALESCE(longer, name) AS name FROM n2 LEFT JOIN st ON st.report_id = n2.report_id AND st.phrase = name""")
 def m3(t):
     tokens = _tokens(t)
     nouns = cut(m.proper_nouns(tokens))
-    names = m.possessive_names(t("fx_texts"), nouns).select("report_id", "name")
-    for _ in range(3):  # a name has at most four words
-        names = cut(m.name_extension(tokens, names, nouns))
-    return names
+    return m.name_extension(tokens, m.possessive_names(t("fx_texts"), nouns).select("report_id", "name"), nouns)
 
 
 EDGE = "SELECT report_id, page, concat(CASE report_id % 5 WHEN 0 THEN 'Tata Motors' WHEN 1 THEN 'Infosys Digital' WHEN 2 THEN 'Nova Steel' WHEN 3 THEN 'Axis Bank' ELSE 'Hindalco Industries' END, ' | ', CAST(page AS STRING)) AS text FROM fx_texts"

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import NullType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,6 +47,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """A table several steps read, written once as Parquet under the checkpoint folder and read back: the steps after it
     do not repeat it, read only the columns and rows they need, and a lost executor costs a read."""
+    if any(isinstance(f.dataType, NullType) for f in df.schema.fields):  # Parquet has no column without a type
+        checkpoint_folder(df.sparkSession)
+        return df.checkpoint()
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/figtrail/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

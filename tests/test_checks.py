@@ -136,6 +136,18 @@ def test_headings_fold_one_level_deep_and_questions_do_not(spark):
     assert got[3].section_id == "s1_2" and got[6].section_id == "s1_5"
 
 
+def test_a_common_start_brings_no_candidates(spark):
+    import random
+    rng = random.Random(4)
+    titles = ["consolidatedannualreportandaccounts" + "".join(rng.choice("abcdefghijklmnop") for _ in range(20)) for _ in range(1500)]
+    titles += [t[:-1] + "z" for t in titles[:50]]
+    df = spark.createDataFrame([("r", t) for t in titles], "report_id string, sig string")
+    candidates = layout.candidate_signatures(df).count()
+    assert candidates < 1500 * 1500 / 50
+    pairs = layout.similar_signatures(df).filter("sig < other").count()
+    assert pairs == 50
+
+
 def test_similar_signatures_equal_brute_force(spark):
     import random
     rng = random.Random(3)

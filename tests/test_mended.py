@@ -109,3 +109,21 @@ def test_units_beside_their_currency(spark):
     pages = spark.createDataFrame([(str(i), 1, t) for i, t in enumerate(texts)], "report_id string, page int, text string")
     got = {r.report_id: r.unit for r in metadata.vote_unit(pages, metadata.vote_currency(pages)).collect()}
     assert {t: got.get(str(i)) for i, t in enumerate(texts)} == {**texts, "₹ 45   crore": None}
+
+
+def _report(spark, texts):
+    return spark.createDataFrame([("r", i + 1, t) for i, t in enumerate(texts)], "report_id string, page int, text string")
+
+
+def test_a_legal_form_may_follow_another(spark):
+    pages = _report(spark, ["Indian Oil Corporation Limited sells fuel.", "Shares of Indian Oil Corporation Limited rose. Indian Oil Corporation was founded early.", "Indian Oil Corporation Ltd and others. Indian Oil is big.", "More of Indian Oil."])
+    got = {r.name: r.mentions for r in metadata.legal_names(pages).collect()}
+    assert list(got) == ["Indian Oil Corporation Limited"] and got["Indian Oil Corporation Limited"] == 4
+
+
+def test_a_name_grows_to_four_words_in_one_call(spark):
+    pages = _report(spark, ["We at Nova Steel Works Group grew and Nova Steel Works Group sold", "Later Nova Steel Works Group Holding rose", "Nova Steel Works Group again"])
+    tokens = metadata.page_tokens(pages)
+    names = spark.createDataFrame([("r", "Nova"), ("r", "Unknown")], "report_id string, name string")
+    got = {r.name for r in metadata.name_extension(tokens, names, metadata.proper_nouns(tokens)).collect()}
+    assert got == {"Nova Steel Works Group", "Unknown"}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
+from conftest import SMALL
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from figtrail.functions import ordered
+from figtrail.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +37,11 @@ def test_same_as_a_window(spark, rows, parts):
         assert sorted(got.collect()) == sorted(want.collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("name, exchanges", [("c4_check_totals", 4), ("e3_outline_sections", 6), ("e5_assign_chapters", 6), ("w18_assign_sections", 4), ("v14_next_versions", 4)])
+def test_what_follows_a_scan_does_not_repeat_its_input(spark, name, exchanges):
+    """Behind the last ordered scan only tables that scans have written are read, at most one of the inputs with them."""
+    plan = catalog.load()[0][name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    inputs = [line for line in plan.splitlines() if "FileScan" in line and "/figtrail/cut-" not in line]
+    assert len(inputs) <= 1 and len(re.findall(r"Exchange (?:hash|range|single)", plan)) <= exchanges, plan
