@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figtrail.functions.text import core_of, has_digit, once
+from figtrail.session import cut
 
 # What is exported, and the export's columns in order.
 EXPORT_KINDS = ["number", "percent", "bps", "multiple", "nil", "date"]
@@ -89,8 +90,10 @@ def bundle_identity(files: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ C11, C12
 
-def _shared(page_words: DataFrame) -> DataFrame:
-    return page_words.groupBy("report_id", "word").agg(F.count(F.lit(1)).alias("on_pages"))
+def _word_spread(page_words: DataFrame) -> DataFrame:
+    """On how many pages of its report a word is, and the first and last of them: all that has to be known of a common
+    word, and every page of one that is on two at most. Reduced before the shuffle, so no word is a hot key."""
+    return page_words.groupBy("report_id", "word").agg(F.count(F.lit(1)).alias("on_pages"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
 
 
 def pages_drawn(html: DataFrame) -> DataFrame:
@@ -101,25 +104,33 @@ def pages_drawn(html: DataFrame) -> DataFrame:
 
 
 def check_text_on_site(page_words: DataFrame, site_words: DataFrame, drawn: DataFrame) -> DataFrame:
-    """page_words: report_id, page, word (distinct). A page is judged by the words on at most two pages of its report."""
+    """page_words: report_id, page, word (distinct). A page is judged by the words on at most two pages of its report, or by
+    all where these are under three. The words of whole pages are looked up on the site only where the own ones miss."""
+    page = ["report_id", "page"]
     site = site_words.select("report_id", "word").distinct().withColumn("there", F.lit(True))
-    df = page_words.join(_shared(page_words), ["report_id", "word"]).join(site, ["report_id", "word"], "left")
-    own, there = F.col("on_pages") <= 2, F.col("there").isNotNull()
-    per = df.groupBy("report_id", "page").agg(F.count(F.lit(1)).alias("n"), F.count_if(there).alias("n_site"), F.count_if(own).alias("own"), F.count_if(own & there).alias("own_site"))
+    rare = _word_spread(page_words).filter("on_pages <= 2").join(site, ["report_id", "word"], "left")
+    own = rare.select("report_id", F.explode(F.array_distinct(F.array("first_page", "last_page"))).alias("page"), "there").groupBy(*page).agg(F.count(F.lit(1)).alias("own"), F.count("there").alias("own_site"))
+    per = page_words.groupBy(*page).agg(F.count(F.lit(1)).alias("n")).join(own, page, "left").fillna(0, ["own", "own_site"])
+    unsure = cut(per.filter(F.when(F.col("own") >= 3, F.col("own_site") < F.col("own") * 0.5).otherwise(F.col("n") >= 3)))
+    found = page_words.join(unsure.select(*page), page, "left_semi").join(site, ["report_id", "word"], "left_semi").groupBy(*page).agg(F.count(F.lit(1)).alias("n_site"))
+    judged = unsure.join(found, page, "left").fillna(0, ["n_site"])
     pool, hits = F.when(F.col("own") >= 3, F.col("own")).otherwise(F.col("n")), F.when(F.col("own") >= 3, F.col("own_site")).otherwise(F.col("n_site"))
     bad = (pool >= 3) & (hits < pool * 0.5) & (F.col("n_site") < F.col("n") * 0.7)
-    return per.filter(bad).join(drawn, ["report_id", "page"], "left_anti").select("report_id", "page", F.lit("completeness").alias("check_name"), F.lit("warning").alias("severity"), pool.alias("judged"), hits.alias("found"))
+    return judged.filter(bad).join(drawn, page, "left_anti").select(*page, F.lit("completeness").alias("check_name"), F.lit("warning").alias("severity"), pool.alias("judged"), hits.alias("found"))
 
 
 def check_page_coverage(page_map: DataFrame, page_words: DataFrame, pictures: DataFrame) -> DataFrame:
-    """page_map: report_id, page, shown, own_section, title. pictures: report_id, page, pictures."""
-    per = page_words.join(_shared(page_words), ["report_id", "word"]).groupBy("report_id", "page").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("on_pages") >= 2).alias("repeats"))
-    df = page_map.filter(~F.col("shown").isin("left_out", "cover")).join(per, ["report_id", "page"], "left").join(pictures, ["report_id", "page"], "left")
+    """page_map: report_id, page, shown, own_section, title. pictures: report_id, page, pictures. A page only repeats others when
+    none of its words is on it alone."""
+    page = ["report_id", "page"]
+    alone = _word_spread(page_words).filter("on_pages = 1").select("report_id", F.col("first_page").alias("page")).distinct().withColumn("alone", F.lit(True))
+    per = page_words.groupBy(*page).agg(F.count(F.lit(1)).alias("n")).join(alone, page, "left")
+    df = page_map.filter(~F.col("shown").isin("left_out", "cover")).join(per, page, "left").join(pictures, page, "left")
     titled, zero = F.coalesce("title", F.lit("")) != "", F.lit(0)
-    skip = F.coalesce(F.col("repeats"), F.lit(False)) & ~titled
+    skip = F.col("n").isNotNull() & F.col("alone").isNull() & ~titled
     problem = (F.when(skip, None).when(titled & (F.col("shown") != "none") & ~F.col("own_section"), "no section of its own")
                .when((F.col("shown") == "none") & (F.coalesce("pictures", zero) > 0) & (F.coalesce("n", zero) < 3), "picture page missing"))
-    return df.withColumn("problem", problem).filter(F.col("problem").isNotNull()).select("report_id", "page", "problem", F.lit("completeness").alias("check_name"), F.lit("warning").alias("severity"))
+    return df.withColumn("problem", problem).filter(F.col("problem").isNotNull()).select(*page, "problem", F.lit("completeness").alias("check_name"), F.lit("warning").alias("severity"))
 
 
 # ------------------------------------------------------------------ C14–C16: every number on a page is a figure or a label

@@ -16,22 +16,28 @@ from figtrail.operators.operations import ALERT_PAUSE, SIGN_IN_LIMIT, SIGN_IN_WI
 def read_table_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 1) -> DataFrame:
     """A driver table's files as a stream; new files in the folder become new batches."""
     where = f"{folder}/{table}.parquet"
-    source = spark.readStream.schema(spark.read.parquet(where).schema).option("maxFilesPerTrigger", files_per_batch)
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    held = spark.read.parquet(where)
+    source = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", files_per_batch)
     # a table of any size is a folder of part files; a small one is a single file beside others
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        return source.parquet(where)
-    return source.option("pathGlobFilter", f"{table}*.parquet").parquet(folder)
+    if any(f.rsplit("/", 1)[-1] == f"{table}.parquet" for f in held.inputFiles()):
+        return source.option("pathGlobFilter", f"{table}*.parquet").parquet(folder)
+    return source.parquet(where)
 
 
 def drain(stream: DataFrame, out: str, state: str, mode: str = "append") -> None:
     """Runs what is there and stops. Every batch overwrites its own folder, so a batch replayed after a lost
-    executor leaves one copy."""
+    executor leaves one copy. A stream that brings no batch leaves an empty one, so there is something to read."""
+    written: list[int] = []
+
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        written.append(epoch)
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", state)
          .trigger(availableNow=True).foreachBatch(write).start())
     q.awaitTermination()
+    if not written:
+        spark = stream.sparkSession
+        spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{out}/epoch=0")
 
 
 def traffic_counts(hits: DataFrame, late: str = "1 day") -> DataFrame:

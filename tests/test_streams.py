@@ -71,3 +71,11 @@ def test_duplicate_jobs_across_batches(spark, stage):
 def test_a_silent_worker_is_reported(spark):
     gone = operations.worker_liveness(spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:02:00")], "worker_id string, seen_at string").withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz")), "2024-01-01 00:02:30")
     assert {(r.worker_id, r.gone) for r in gone.collect()} == {("a", True), ("b", False)}
+
+
+def test_an_empty_stream_leaves_an_empty_table(spark, tmp_path):
+    jobs = Tables(spark, SMALL)("fx_jobs")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(jobs.schema).parquet(f"{tmp_path}/in")
+    streams.drain(stream.select("job_id"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert spark.read.parquet(f"{tmp_path}/out").select("job_id").count() == 0
