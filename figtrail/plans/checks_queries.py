@@ -225,7 +225,7 @@ def c13(t):
       UNION ALL SELECT 'runs', report_id || '/' || page || '/' || line_no || '/' || word_no, [CASE WHEN regexp_matches(text, '[0-9]') THEN 'text run holds a digit' END] FROM fx_words)""")
 def c17(t):
     meta = t("fx_uploads").select("upload_id", F.trim("company_name").alias("company"), "report_type", F.lit(2025).alias("fiscal_year"), F.lower("period").alias("period"), F.upper(F.trim("currency")).alias("currency"), "reporting_unit")
-    figures = _kinds(t("fx_figs")).withColumns({"value_str": F.col("n_value_str"), "role": F.lit("text")})
+    figures = with_number(t("fx_figs"), "raw", "n_").withColumns({"kind": F.coalesce("n_kind", F.lit("identifier")), "value_str": F.col("n_value_str"), "role": F.lit("text")})
     runs = t("fx_words").withColumn("run_fid", F.lit(None).cast("string"))
     sections = section_slugs(t("fx_sections"))
     return op.check_schema({"metadata": meta, "pages": t("fx_doc_pages"), "sections": sections, "figures": figures, "runs": runs},

@@ -127,3 +127,10 @@ def test_a_name_grows_to_four_words_in_one_call(spark):
     names = spark.createDataFrame([("r", "Nova"), ("r", "Unknown")], "report_id string, name string")
     got = {r.name for r in metadata.name_extension(tokens, names, metadata.proper_nouns(tokens)).collect()}
     assert got == {"Nova Steel Works Group", "Unknown"}
+
+
+def test_short_marks_behind_dollar_amounts_are_units(spark):
+    money = spark.createDataFrame([("a", "USD"), ("b", "USD"), ("c", "INR")], "report_id string, currency string")
+    pages = spark.createDataFrame([("a", 1, "Revenue of $1.3B and $ 27.2 B, costs US$2.5B"), ("b", 1, "Backlog $450MM, cash $12M."), ("c", 1, "(₹ cr.) Sales 12, in dollars $3B")], "report_id string, page int, text string")
+    got = {r.report_id: (r.unit, r.confidence) for r in metadata.vote_unit(pages, money).collect()}
+    assert got == {"a": ("billion", "high"), "b": ("million", "high"), "c": ("crore", "medium")}
