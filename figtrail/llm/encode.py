@@ -15,14 +15,14 @@ _LETTERS = "a-zà-öø-ÿß"
 
 
 class _Cache(dict):
-    """Made values of the words seen lately. When CACHED are held they become the older half, from which a word that is
+    """Made values of the words seen lately. When `held` are there they become the older half, from which a word that is
     asked for again is taken back, so frequent words are made once; a bound on memory, not on texts."""
 
-    def __init__(self, make):
-        self.make, self.older = make, {}
+    def __init__(self, make, held):
+        self.make, self.held, self.older = make, held, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHED:
+        if len(self) >= self.held:
             self.older = dict(self)
             self.clear()
         value = self.older.get(key)
@@ -41,7 +41,7 @@ class Encoder:
     the tokenizer's model directly; every other word goes through the tokenizer itself, and so does the whole of a
     text that holds the mark of a special token."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, held: int = CACHED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -52,8 +52,8 @@ class Encoder:
         self.mapped = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in latin}
         self.plain = re.compile(f"[{_PLAIN}]+")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
-        self.pieces = _Cache(self._piece)
-        self.words = _Cache(self._word)
+        self.pieces = _Cache(self._piece, held)
+        self.words = _Cache(self._word, held)
 
     def _packed(self, ids) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -77,13 +77,13 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
-_open: dict[str, Encoder] = {}
+_open: dict[tuple[str, int], Encoder] = {}
 _lock = threading.Lock()
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file; its caches outlive a task."""
+def encoder(path: str, held: int = CACHED) -> Encoder:
+    """One encoder per Python worker, file and size of its caches, which outlive a task."""
     with _lock:
-        if path not in _open:
-            _open[path] = Encoder(path)
-        return _open[path]
+        if (path, held) not in _open:
+            _open[path, held] = Encoder(path, held)
+        return _open[path, held]

@@ -11,10 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figtrail.llm.common import as_bytes, numbered, stored
+from figtrail.llm.common import CACHED, as_bytes, numbered, stored
 from figtrail.llm.encode import encoder
 
 SHARD_BITS = 32
+#: Words and pieces in each half of the caches: workers that pack have run the stages before and hold their caches too.
+HELD = CACHED // 2
 
 
 class BestFit:
@@ -63,7 +65,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, HELD)
         for b in batches:
             out: list[tuple] = []
             for doc, key, text, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
