@@ -1,6 +1,8 @@
 """Segments read off windows, and lines told to be heads only where a date can be."""
 
-from figtrail.functions.dates import may_be_dated, with_date, with_ended_span, with_label_parts
+import re
+
+from figtrail.functions.dates import may_be_dated, with_date, with_ended_span, with_label_parts, with_period
 from figtrail.operators import layout
 from pyspark.sql import functions as F
 
@@ -35,3 +37,11 @@ def test_no_date_or_label_is_passed_over(spark):
     assert [r.text for r in rows if not r.may and (r.l_mark is not None or r.d_iso or r.l_on)] == []
     assert sum(r.l_mark is not None or r.d_iso is not None or r.l_on is not None for r in rows) >= len(texts) - 2
     assert {r.text for r in rows if not r.may} == {"Line 1", "1,234.50", "(12)", "2024", "5.5%", "A12-04", "nil"}
+
+
+def test_reading_a_period_stays_compilable(spark, capsys):
+    """The JVM never compiles methods over 8,000 bytes."""
+    labels = spark.range(3).select(F.concat(F.lit("Q2 FY"), F.col("id").cast("string"), F.lit("5")).alias("label"))
+    with_period(labels, "label", columns_too=False).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8_000
