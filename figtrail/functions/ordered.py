@@ -50,6 +50,12 @@ def running_sum(df: DataFrame, keys: list[str], block: str | Column, order: list
     return _carried(local, keys, F.sum(value), F.sum("_top"), _NO_ROWS_BEFORE, F.coalesce("_local", zero) + F.coalesce("_carry", zero), out)
 
 
+def carried_sum(local: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """For rows that were scanned and added up per block by the caller, and cut (``_block``, and ``_local``, the sum before a row
+    inside its block): ``out`` is that sum over the whole group. ``value`` adds up to what a block brings."""
+    return _carried(local, keys, F.sum(value), F.sum("_top"), _NO_ROWS_BEFORE, F.col("_local") + F.coalesce("_carry", F.lit(0)), out)
+
+
 def running_max(df: DataFrame, keys: list[str], block: str | Column, order: list, value: str, out: str) -> DataFrame:
     local = _in_blocks(df, keys, block, order, F.max(value), (W.unboundedPreceding, 0))
     return _carried(local, keys, F.max("_local"), F.max("_top"), _NO_ROWS_BEFORE, F.greatest("_local", "_carry"), out)
