@@ -98,10 +98,11 @@ def apply_second_opinion(issues: DataFrame, opinions: DataFrame, figures: DataFr
 def run_summary(issues: DataFrame, figures: DataFrame, keys: tuple[str, ...] = ("version_id",)) -> DataFrame:
     """Per version: figures, how many have nothing open, and open findings by severity and check."""
     k = list(keys)
-    active = figures.filter(F.col("status") == "active").select(*k, "fid").distinct()
-    flagged = issues.filter(_open() & F.col("fid").isNotNull()).select(*k, "fid").distinct().withColumn("_bad", F.lit(1))
-    figs = (active.join(flagged, [*k, "fid"], "left").groupBy(*k)
-            .agg(F.count(F.lit(1)).alias("figures_checked"), F.count_if(F.col("_bad").isNull()).alias("passed")))
+    # figures and findings meet in one aggregate; a key that is null meets nothing
+    active = figures.filter(F.col("status") == "active").select(*k, "fid", F.lit(True).alias("_active"), F.lit(False).alias("_bad"))
+    flagged = issues.filter(_open() & F.col("fid").isNotNull()).dropna(subset=k).select(*k, "fid", F.lit(False).alias("_active"), F.lit(True).alias("_bad"))
+    figs = (active.unionByName(flagged).groupBy(*k, "fid").agg(F.max("_active").alias("_active"), F.max("_bad").alias("_bad")).filter("_active")
+            .groupBy(*k).agg(F.count(F.lit(1)).alias("figures_checked"), F.count_if(~F.col("_bad")).alias("passed")))
     per_check = (issues.groupBy(*k, "check_name")
                  .agg(F.count_if(_open() & (F.col("severity") == "warning")).alias("w"), F.count_if(_open() & _blocking()).alias("b"),
                       F.count_if(F.col("status") == "resolved").alias("r"), F.count_if(_open()).alias("o")))

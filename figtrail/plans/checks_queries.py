@@ -12,6 +12,7 @@ from figtrail.operators import review
 from figtrail.operators.normalise import change_kind, section_slugs, unit_fields
 from figtrail.plans import duck
 from figtrail.plans.registry import query
+from figtrail.session import cut
 
 
 def _found(words: str, pad: str, figs: str, text: str = "w.text", raw: str = "raw") -> str:
@@ -114,9 +115,9 @@ def c4b(t):
     WITH i AS ({TOTALS}) SELECT report_id, figures_checked, figures_checked - COALESCE(bad, 0) AS passed, COALESCE(warnings, 0) AS warnings, COALESCE(blocking, 0) AS blocking
     FROM (SELECT report_id, count(*) AS figures_checked FROM fx_cells GROUP BY ALL) LEFT JOIN (SELECT report_id, count(*) AS bad, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'blocking') AS blocking FROM i GROUP BY ALL) USING (report_id)""")
 def a4t(t):
-    cells = t("fx_cells")
+    cells = cut(t("fx_cells"))  # checked and counted
     fid = F.concat_ws(":", "row_no", "col_no")
-    issues = op.check_totals(cells).withColumns({"fid": fid, "status": F.lit("open")})
+    issues = cut(op.check_totals(cells).withColumns({"fid": fid, "status": F.lit("open")}))
     figures = cells.select("report_id", fid.alias("fid"), F.lit("active").alias("status"))
     return review.run_summary(issues, figures, ("report_id",)).select("report_id", "figures_checked", "passed", "warnings", "blocking")
 
