@@ -9,6 +9,7 @@ from figtrail.operators import versions as op
 from figtrail.operators.versions import Viewer
 from figtrail.plans import duck
 from figtrail.plans.registry import query
+from figtrail.session import cut
 
 MONTH, NOW = "2024-01-01", "2024-01-31 00:00:00"
 RUNS = "SELECT version_id, arg_max(b, run_no) AS open_blocking, max(run_no) AS run_no FROM (SELECT version_id, run_no, count(*) FILTER (WHERE severity = 'blocking' AND status = 'open') AS b FROM fx_issues GROUP BY ALL) GROUP BY ALL"
@@ -271,7 +272,7 @@ _ELS = "SELECT report_id, page, line_no AS element_id, min(x0) AS x0, min(y0) AS
 def u11(t):
     els = t("fx_words").groupBy("report_id", "page", F.col("line_no").alias("element_id")).agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min_by("text", "word_no").alias("text"), F.lit("text").alias("kind"))
-    pages = usage.page_fingerprints(els)
+    pages = cut(usage.page_fingerprints(els))  # one row a page, read for the pages, the cache and the budgets
     failed = F.when(F.col("page") % 7 == 1, F.lit("2024-01-30 23:00:00").cast("timestamp_ntz"))
     cache = pages.filter((F.col("page") % 5 == 0) | (F.col("page") % 7 == 1)).select("report_id", "page", "fingerprint", (F.col("page") % 5 == 0).alias("has_layout"), failed.alias("failed_at"))
     budgets = pages.select("report_id").distinct().withColumn("budget", F.lit("0.5").cast("decimal(20,6)"))
