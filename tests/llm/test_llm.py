@@ -176,6 +176,51 @@ def test_best_class_is_the_best_of_all_moves():
         assert moved[to - 1] == pytest.approx(max(moved))
 
 
+def test_best_classes_of_rare_words_are_the_best_of_all_moves():
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 60, 5000)
+    cls = np.array([*rng.integers(1, class_lm.CLASSES + 1, 40), *(class_lm.FIRST_SPELLING + rng.integers(0, 3, 20))])
+
+    def matrix(c):
+        m = np.zeros((class_lm.ALL, class_lm.ALL))
+        np.add.at(m, (c[text[:-1]], c[text[1:]]), 1)
+        return m
+
+    m, entries = matrix(cls), Counter()
+    for a, b in zip(text[:-1].tolist(), text[1:].tolist(), strict=True):
+        if a == b >= 40:
+            entries[a - 40, class_lm.ITSELF] += 1
+        if b >= 40 and a != b:
+            entries[b - 40, int(cls[a])] += 1
+        if a >= 40 and a != b:
+            entries[a - 40, class_lm.ALL + int(cls[b])] += 1
+    keys = sorted(entries)
+    to = class_lm.best_classes(m, cls[40:], np.array([w for w, _ in keys]), np.array([x for _, x in keys]), np.array([entries[k] for k in keys]))
+    for w in range(40, 60):
+        moved = {c: class_lm.likelihood(matrix(np.where(np.arange(60) == w, c, cls))) for c in [int(cls[w]), *range(1, class_lm.CLASSES + 1)]}
+        assert moved[int(to[w - 40])] == pytest.approx(max(moved.values()), abs=1e-4)
+
+
+def test_every_word_is_moved_not_the_most_frequent_alone(spark, monkeypatch):
+    """Rare words that stand where some frequent ones do are scored by that place, whatever their spelling."""
+    monkeypatch.setattr(class_lm, "HEAD", 60)
+    monkeypatch.setattr(class_lm, "MOVED", 30)
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(4000):
+        a, b = (f"{k}{rng.integers(0, 8) if rng.random() < 0.6 else rng.integers(8, 150)}x" for k in "nv")
+        rows.append((i, f"the {a} did {b} then", None))
+    docs = docs_of(spark, rows)
+    got = class_lm.fit_and_score(docs).select("score").agg(F.sum("score")).first()[0]
+    model, rest = class_lm.fit(docs)
+    code = {r.word: r.code for r in rest.collect()} | dict(zip(model.held.words[30:], model.held.code[30:], strict=True))
+    where = {k: Counter(int(model.class_of[c]) for w, c in code.items() if w[:1] == k and len(w) > 2) for k in (b"n", b"v")}
+    learnt = {k: {c for c in at if c <= class_lm.CLASSES} for k, at in where.items()}
+    assert learnt[b"n"].isdisjoint(learnt[b"v"])
+    assert all(sum(at[c] for c in learnt[k]) > 0.8 * at.total() for k, at in where.items())
+    assert class_lm.score(docs, model, rest).agg(F.sum("score")).first()[0] == pytest.approx(got)
+
+
 # ---------------------------------------------------------------- quality
 
 def test_quality_on_held_out_labels(spark, odd, none):
