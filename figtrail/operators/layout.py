@@ -14,9 +14,9 @@ from figtrail.functions.boxes import as_boxes, centre, words_in_boxes
 from figtrail.functions.dates import may_be_dated, with_date, with_period
 from figtrail.functions.jumps import chosen_spans
 from figtrail.functions.numbers import is_number, looks_like_cell_value, with_number
-from figtrail.functions.text import core_of, has_digit, letters_only, once, stripped
+from figtrail.functions.text import core_of, has_digit, letters_only, literal_map, once, stripped
 from figtrail.operators.normalise import reads_as_word
-from figtrail.session import cut
+from figtrail.session import cut, parted
 from figtrail.session import spread as by_page
 
 PAGE = ["report_id", "page"]
@@ -212,40 +212,55 @@ def _round_step(step: Column) -> Column:
     return (step != 0) & ((F.abs(m - 1) < 0.0001) | (F.abs(m - 2) < 0.0001) | (F.abs(m - 2.5) < 0.0001) | (F.abs(m - 5) < 0.0001) | (F.abs(m - 10) < 0.0001))
 
 
-def _clustered(df: DataFrame, edge: str, tol: float, name: str) -> DataFrame:
-    w = W.partitionBy(*PAGE).orderBy(edge, "word_no")
-    new = F.coalesce(F.col(edge) - F.lag(edge).over(w) > tol, F.lit(True)).cast("int")
-    return df.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w)).withColumn("axis", F.lit(name)).drop("_new")
+# The edge by which numbers stand in line on each axis, how far apart they may be, and where values go along it.
+AXES = {"right": ("x1", 3.0, -1), "centre": ("xc", 3.0, -1), "row": ("yc", 5.0, 1)}
 
 
-def axis_tick_words(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """Bare numbers in a column or row that form an evenly spaced arithmetic run of a round step, with no word label
-    on their line. A run is a maximal island of one step; regions: report_id, page, x0..y1."""
+def axis_runs(words: DataFrame) -> DataFrame:
+    """The numbers of evenly spaced runs of a round step, with each run's length, size and whether it holds a zero. Words are
+    parted by page once; every step after that is a window within the page, over few columns."""
     num = with_number(words, "text", "n_").filter(F.col("n_kind").isin("number", "percent") & F.col("n_currency_symbol").isNull())
-    num = num.withColumns({"v": F.col("n_value").cast("double"), "xc": centre("x0", "x1"), "yc": centre("y0", "y1")}).select(
-        *PAGE, "word_no", "x0", "y0", "x1", "y1", "xc", "yc", F.col("n_kind").alias("kind"), "v")
-    vertical = _clustered(num, "x1", 3.0, "right").unionByName(_clustered(num, "xc", 3.0, "centre")).withColumn("pos", F.col("yc")).withColumn("dir", F.lit(-1))
-    rows = _clustered(num, "yc", 5.0, "row").withColumn("pos", F.col("xc")).withColumn("dir", F.lit(1))
+    num = num.select(*PAGE, "word_no", "x0", "y0", "x1", "y1", F.col("n_kind").alias("kind"), F.col("n_value").cast("double").alias("v"))
+    places = {"x1": F.col("x1"), "xc": centre("x0", "x1"), "yc": centre("y0", "y1")}
+    axes = F.array(*[F.struct(F.lit(name).alias("axis"), places[edge].alias("edge"), F.lit(tol).alias("tol")) for name, (edge, tol, _) in AXES.items()])
+    df = parted(num, *PAGE).select("*", F.inline(axes))
+    w = W.partitionBy(*PAGE, "axis").orderBy("edge", "word_no")
+    df = df.withColumn("_new", F.coalesce(F.col("edge") - F.lag("edge").over(w) > F.col("tol"), F.lit(True)).cast("int"))
+    df = df.withColumn("cluster", F.sum("_new").over(w)).drop("_new", "edge", "tol")
     group = [*PAGE, "axis", "cluster"]
+    pos = F.when(F.col("axis") == "row", places["xc"]).otherwise(places["yc"])
+    direction = F.element_at(literal_map({name: way for name, (_, _, way) in AXES.items()}), F.col("axis"))
+    df = df.withColumns({"pos": pos, "group_size": F.count(F.lit(1)).over(W.partitionBy(*group))})
+    df = df.filter("group_size >= 3")  # no run is shorter
     w = W.partitionBy(*group).orderBy("pos", "word_no")
-    df = vertical.unionByName(rows).withColumns({"step": F.bround(F.col("v") - F.lag("v").over(w), 6), "gap": F.col("pos") - F.lag("pos").over(w),
-                                                 "same": F.col("kind") == F.lag("kind").over(w), "group_size": F.count(F.lit(1)).over(W.partitionBy(*group))})
-    ok = F.col("same") & _round_step(F.col("step")) & (F.signum("step") == F.col("dir")) & (F.col("gap") > 0)
-    df = df.withColumn("step", F.when(F.coalesce(ok, F.lit(False)), F.col("step")))
+    df = df.withColumns({"step": F.bround(F.col("v") - F.lag("v").over(w), 6), "gap": F.col("pos") - F.lag("pos").over(w), "same": F.col("kind") == F.lag("kind").over(w)})
+    ok = F.col("same") & _round_step(F.col("step")) & (F.signum("step") == direction) & (F.col("gap") > 0)
+    df = df.withColumn("step", F.when(F.coalesce(ok, F.lit(False)), F.col("step"))).drop("pos", "kind", "same")
+    w = W.partitionBy(*group).orderBy(pos, "word_no")
     start = (~F.col("step").eqNullSafe(F.lag("step").over(w))).cast("int")
-    df = df.withColumn("_s", start).withColumn("island", F.sum("_s").over(w))
+    df = df.withColumn("_s", start).withColumn("island", F.sum("_s").over(w)).drop("_s")
     # a run is an island of steps and the number before its first step
     ahead = F.when(F.lead("step").over(w).isNotNull() & ~F.lead("step").over(w).eqNullSafe(F.col("step")), F.lead("island").over(w))
-    df = df.withColumn("island_ahead", ahead)
-    cols = [*group, "word_no", "x0", "y0", "x1", "y1", "xc", "yc", "v", "gap", "step", "group_size"]
-    members = df.filter(F.col("step").isNotNull()).select(*cols, "island").unionByName(
-        df.filter(F.col("island_ahead").isNotNull()).withColumn("gap", F.lit(None).cast("double")).drop("island").withColumnRenamed("island_ahead", "island").select(*cols, "island"))
-    runs = members.groupBy(*group, "island").agg(F.count(F.lit(1)).alias("len"), F.median("gap").alias("med"), F.max("gap").alias("gmax"), F.min("gap").alias("gmin"), F.bool_or(F.col("v") == 0).alias("zero"),
-                                                 F.bool_and((F.col("v") == F.floor("v")) & F.col("v").between(1900, 2100)).alias("years"), F.max(F.abs("step")).alias("size"), F.max("group_size").alias("gs"))
-    tol = F.greatest(F.lit(6.0), F.col("med") * 0.15)
-    even = (F.col("gmax") - F.col("med") <= tol) & (F.col("med") - F.col("gmin") <= tol)
-    runs = runs.filter((F.col("len") >= 3) & even & ~F.col("years") & (F.col("len") >= F.col("gs") * 0.75))
-    cand = members.join(by_page(runs.select(*group, "island", "len", "zero", "size")), [*group, "island"])
+    member = lambda yes, island, gap: F.when(yes, F.struct(island.alias("island"), gap.alias("gap")))
+    both = F.array(member(F.col("step").isNotNull(), F.col("island"), F.col("gap")), member(F.col("ahead").isNotNull(), F.col("ahead"), F.lit(None).cast("double")))
+    df = df.withColumn("ahead", ahead).withColumn("_m", F.explode(F.array_compact(both)))
+    members = df.select(*group, "word_no", "x0", "y0", "x1", "y1", "v", "step", "group_size", "_m.island", "_m.gap")
+    run = W.partitionBy(*group, "island")
+    members = members.withColumns({
+        "len": F.count(F.lit(1)).over(run), "_gmax": F.max("gap").over(run), "_gmin": F.min("gap").over(run), "zero": F.bool_or(F.col("v") == 0).over(run),
+        "_years": F.bool_and((F.col("v") == F.floor("v")) & F.col("v").between(1900, 2100)).over(run), "size": F.max(F.abs("step")).over(run)})
+    members = members.filter((F.col("len") >= 3) & ~F.col("_years") & (F.col("len") >= F.col("group_size") * 0.75)).drop("_years", "v", "step", "group_size")
+    members = members.withColumn("_med", F.median("gap").over(run))
+    tol = F.greatest(F.lit(6.0), F.col("_med") * 0.15)
+    even = (F.col("_gmax") - F.col("_med") <= tol) & (F.col("_med") - F.col("_gmin") <= tol)
+    return members.filter(even).select(*group, "island", "word_no", "x0", "y0", "x1", "y1", "len", "zero", "size")
+
+
+def axis_tick_words(words: DataFrame, regions: DataFrame) -> DataFrame:
+    """Bare numbers in a column or row that form an evenly spaced arithmetic run of a round step, with no word label
+    on their line. A run is a maximal island of one step; regions: report_id, page, x0..y1."""
+    group = [*PAGE, "axis", "cluster"]
+    cand = cut(axis_runs(words)).withColumns({"xc": centre("x0", "x1"), "yc": centre("y0", "y1")})
     inside = words_in_boxes(cand.select(*group, "island", "word_no", "x0", "y0", "x1", "y1"), as_boxes(by_page(regions)), 4.0, "left_semi")
     share = inside.groupBy(*group, "island").agg(F.count(F.lit(1)).alias("in_region"))
     labels = words.filter(F.length(F.regexp_replace("text", r"[^\p{L}]", "")) >= 2).select(*PAGE, F.col("x0").alias("ax0"), F.col("x1").alias("ax1"), centre("y0", "y1").alias("ayc"))
