@@ -259,8 +259,9 @@ def m11(t):
 
 @query("m12_vote_period", None)
 def m12(t):
-    texts = t("fx_texts")
-    return m.vote_period(texts, cut(m.vote_fiscal_start(texts, m.vote_currency(texts))))
+    texts = cut(t("fx_texts"))
+    ended = cut(m.ended_spans(texts))
+    return m.vote_period(texts, cut(m.vote_fiscal_start(texts, m.vote_currency(texts), ended)), ended)
 
 
 @query("m13_report_type", """
