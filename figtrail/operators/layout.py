@@ -131,7 +131,7 @@ PAGE_NUMBER_LINE = r"(?i)^(page\s*)?[0-9]{1,4}(\s*(of|/)\s*[0-9]{1,4})?$"
 
 def _band_words(words: DataFrame, pages: DataFrame) -> DataFrame:
     height = pages.select(*PAGE, F.col("height").alias("_ph"))
-    return words.join(by_page(height), PAGE).filter((F.col("y1") < F.col("_ph") * BAND_SHARE) | (F.col("y0") > F.col("_ph") * (1 - BAND_SHARE))).drop("_ph")
+    return parted(words, *PAGE).join(by_page(height), PAGE).filter((F.col("y1") < F.col("_ph") * BAND_SHARE) | (F.col("y0") > F.col("_ph") * (1 - BAND_SHARE))).drop("_ph")
 
 
 GRAM = 2

@@ -28,3 +28,11 @@ def test_parts_of_pages_stay_apart(spark):
     runs = layout.axis_runs(spark.createDataFrame(rows, WORDS))
     assert runs.filter("axis = 'right'").count() == 2000
     assert runs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_margin_words_stay_apart_by_page(spark):
+    words = spark.createDataFrame([(1, p, 1, "Title", 50.0, 20.0, 80.0, 30.0) for p in range(300)], WORDS)
+    pages = spark.createDataFrame([(1, p, 600.0, 800.0) for p in range(300)], "report_id int, page int, width double, height double")
+    margin = layout._band_words(words, pages)
+    assert margin.count() == 300
+    assert margin.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
