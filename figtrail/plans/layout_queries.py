@@ -204,22 +204,22 @@ def w15(t):
     return lay.kpi_pairs(_segs(t)).select("report_id", "page", "label", "value")
 
 
-def _heads(t):
-    words = t("fx_grid")
-    body = lay.body_type_size(words.withColumn("method", F.lit("text_layer")))
-    return cut(sec.headings(cut(lay.segments_of(words)), body)), body
+def _segs_and_body(t):
+    words = cut(t("fx_grid"))
+    # a row per report: stored, so that the planner knows how small it is and does not shuffle segments by report
+    return lay.segments_of(words), cut(lay.body_type_size(words.withColumn("method", F.lit("text_layer"))))
 
 
 @query("w16_headings", None)
 def w16(t):
-    return _heads(t)[0].select("report_id", "page", "line", "segment", "text", "is_heading")
+    return sec.headings(*_segs_and_body(t)).select("report_id", "page", "line", "segment", "text", "is_heading")
 
 
 @query("w17_page_titles", None)
 def w17(t):
-    h, body = _heads(t)
+    segs, body = _segs_and_body(t)
     text = F.when(F.col("line") == 1, F.concat("text", F.lit(" of "), F.translate(F.col("page").cast("string"), "0123456789", "abcdefghij"))).otherwise(F.col("text"))
-    els = h.withColumns({"element_id": F.col("line") * 100 + F.col("segment"), "n_lines": F.lit(1), "on_picture": F.lit(False), "text": text})
+    els = segs.withColumns({"element_id": F.col("line") * 100 + F.col("segment"), "n_lines": F.lit(1), "on_picture": F.lit(False), "text": text})
     return sec.page_titles(els, t("fx_grid_pages"), body)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from figtrail.operators import layout, tables
+from figtrail.operators import layout, sections, tables
+from figtrail.session import cut
 
 WORDS = "report_id string, page int, word_no int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, conf double"
 LINES = [[("Annual", 50), ("statement", 92)], [("(₹", 50), ("crore)", 68)], [("Particulars", 50), ("FY25", 276), ("Tax", 382)], [("Sales", 50), ("1,234", 270), ("12", 388)],
@@ -27,6 +28,13 @@ def test_words_of_a_page_are_shuffled_once(spark):
         assert _exchanges(df) == (1, 0)
 
 
+def test_headings_shuffle_once_and_join_the_body_size_alone(spark):
+    body = cut(spark.createDataFrame([("r", 10.0)], "report_id string, title_size double"))
+    found = sections.headings(layout.segments_of(_words(spark)), body)
+    assert _exchanges(found) == (1, 1)
+    assert [(r.page, r.text) for r in found.filter("is_heading").orderBy("page").collect()] == [(1, "Annual statement"), (2, "Annual statement")]
+
+
 def test_tables_in_one_pass(spark):
     segments = layout.segments_of(_words(spark))
     found = tables.anchored_tables(segments, "text")
